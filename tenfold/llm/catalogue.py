@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tenfold.llm import bitsliced
+from tenfold.llm import bitsliced, bpe
 
 QUERIES: dict = {
     "op2_bit_sliced_top_k": bitsliced.op2,
+    "op6_byte_pairs": bpe.op6,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_bit_sliced_top_k": bitsliced.OP2_SQL,
