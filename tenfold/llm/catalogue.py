@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tenfold.llm import bitsliced, bpe
+from tenfold.llm import avi, bitsliced, bpe
 
 QUERIES: dict = {
     "op2_bit_sliced_top_k": bitsliced.op2,
+    "op3_motion_jpeg": avi.op3,
     "op6_byte_pairs": bpe.op6,
 }
 ORACLE_SQL: dict[str, str] = {
