@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tenfold.llm import avi, bitsliced, bpe
+from tenfold.llm import avi, bitsliced, bpe, lines
 
 QUERIES: dict = {
     "op2_bit_sliced_top_k": bitsliced.op2,
     "op3_motion_jpeg": avi.op3,
+    "op5_line_windows": lines.op5,
     "op6_byte_pairs": bpe.op6,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_bit_sliced_top_k": bitsliced.OP2_SQL,
+    "op5_line_windows": lines.OP5_SQL,
 }
