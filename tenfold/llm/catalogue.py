@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tenfold.llm import avi, bitsliced, bpe, lines
+from tenfold.llm import anchors, avi, bitsliced, bpe, lines
 
 QUERIES: dict = {
     "op2_bit_sliced_top_k": bitsliced.op2,
     "op3_motion_jpeg": avi.op3,
     "op5_line_windows": lines.op5,
     "op6_byte_pairs": bpe.op6,
+    "op10_fixed_anchors": anchors.op10,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_bit_sliced_top_k": bitsliced.OP2_SQL,
     "op5_line_windows": lines.OP5_SQL,
+    "op10_fixed_anchors": anchors.OP10_SQL,
 }
