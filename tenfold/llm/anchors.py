@@ -93,14 +93,15 @@ def _found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         keep = np.repeat((found & 1 > 0) & ((size > 1) | (found & 2 > 0)), size)
         return of[keep], k[keep]
 
-    def extended(group: Group, answers: np.ndarray):
+    def extended(group: Group, answers: pa.Table):
         """Distinct windows of `window` words around the hits, with their first document."""
+        keys = exchange.keys_of(answers, PROBE)
         out = []
         for a, _, raw, off in group.slices():
             starts, ends, row = words.spans(raw, off)
             lanes = [words.hashes(raw, starts, ends, lane) for lane in (0, 1)]
             h, whole = _runs(lanes[0], row, block)
-            hit = whole & _member(answers, place(h))
+            hit = whole & exchange.member(keys, place(h))
             near = np.concatenate([[0], np.cumsum(hit)])
             (p, whole), (q, _) = (_runs(lanes[lane], row, window, lane) for lane in (0, 1))
             at = np.arange(len(p))
@@ -114,8 +115,8 @@ def _found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def first(entries: np.ndarray, of: np.ndarray):
         return exchange.first_of(of, entries, ["doc"])
 
-    def remove(group: Group, firsts: np.ndarray):
-        firsts = np.unique(firsts)
+    def remove(group: Group, answers: pa.Table):
+        firsts = np.unique(exchange.unpack(answers, ENTRY)[0])
         texts, n, removed, spans = [], [], [], []
         for a, b, raw, off in group.slices():
             starts, ends, row = words.spans(raw, off)
@@ -144,23 +145,7 @@ def _found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     by_group = exchange.dealt(docs, groups)
     hits = exchange.decide(exchange.gather(by_group, probes), PROBE, shared)
-    hits = hits.select("b", "g", "data")
-    return exchange.finish(by_group, exchange.decide(_extended(by_group, hits, extended), ENTRY, first), ENTRY, remove)
-
-
-def _extended(by_group: DataFrame, hits: DataFrame, work) -> DataFrame:
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(d.as_buffer(), PROBE).astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, d in zip(found["b"].to_pylist(), found["data"])]
-        return exchange.pack(key[0].as_py(), *work(Group(table), np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)))
-
-    return by_group.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(run, exchange.PACKED)
-
-
-def _member(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Whether each of x is among sorted keys."""
-    if not len(keys):
-        return np.zeros(len(x), bool)
-    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+    return exchange.finish(by_group, exchange.decide(exchange.regather(by_group, hits, extended), ENTRY, first), remove)
 
 
 def _first(e: np.ndarray) -> np.ndarray:

@@ -90,11 +90,11 @@ def gather(by_group: DataFrame, work: Callable[[Group], tuple[np.ndarray, np.nda
     return by_group.groupBy("g").applyInArrow(run, PACKED)
 
 
-def regather(by_group: DataFrame, answers: DataFrame, kind: np.dtype, work) -> DataFrame:
+def regather(by_group: DataFrame, answers: DataFrame, work: Callable[[Group, pa.Table], tuple]) -> DataFrame:
     """As `gather`, with the group's answers."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
-        return pack(key[0].as_py(), *work(Group(table), unpack(found, kind)[0]))
+        return pack(key[0].as_py(), *work(Group(table), found))
 
     return by_group.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, PACKED)
 
@@ -108,13 +108,13 @@ def decide(packed: DataFrame, kind: np.dtype, work) -> DataFrame:
     return packed.groupBy("b").applyInArrow(run, PACKED)
 
 
-def finish(by_group: DataFrame, answers: DataFrame, kind: np.dtype, work) -> DataFrame:
+def finish(by_group: DataFrame, answers: DataFrame, work: Callable[[Group, pa.Table], tuple]) -> DataFrame:
     """doc_id, kept, n, n_removed, n_spans and rest of each row; `work` gives the kept bytes and the three counts."""
     rest = by_group.schema["rest"].dataType.simpleString()
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
         group = Group(table)
-        texts, n, removed, spans = work(group, unpack(found, kind)[0])
+        texts, n, removed, spans = work(group, found)
         own = group.table
         kept = pa.array([t if ok else None for t, ok in zip(texts, own["text"].is_valid().to_pylist())], pa.binary())
         counts = [pa.array(np.asarray(x, np.int64)) for x in (n, removed, spans)]
@@ -148,6 +148,19 @@ def found_in(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((keys["a"][at] == a) & (keys["b"][at] == b), at, -1)
 
 
+def member(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each of x is among sorted keys."""
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+
+
+def keys_of(found: pa.Table, kind: np.dtype) -> np.ndarray:
+    """Sorted numbers of answered keys: the bucket above, the key below."""
+    keys = [np.frombuffer(d.as_buffer(), kind).astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, d in zip(found["b"].to_pylist(), found["data"])]
+    return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+
+
 def covered(marks: np.ndarray, length: int) -> np.ndarray:
     """Positions within `length` from a mark on."""
     c = np.zeros(len(marks) + length, np.int32)

@@ -8,6 +8,7 @@ occurrence; the lines that later occurrences cover are merged and removed.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +55,9 @@ def _found(docs: DataFrame) -> DataFrame:
     def first(entries: np.ndarray, of: np.ndarray):
         return exchange.first_of(of, entries, ["doc", "pos"])
 
-    def remove(group: Group, firsts: np.ndarray):
+    def remove(group: Group, answers: pa.Table):
         entries, rows, lines = _windows(group)
-        firsts = np.unique(firsts)
+        firsts = np.unique(exchange.unpack(answers, ENTRY)[0])
         at = exchange.found_in(firsts, entries["a"], entries["b"])
         if len(firsts):
             first = firsts[at]
@@ -77,7 +78,7 @@ def _found(docs: DataFrame) -> DataFrame:
         return texts, size, removed, spans
 
     by_group = exchange.dealt(docs, groups)
-    return exchange.finish(by_group, exchange.decide(exchange.gather(by_group, send), ENTRY, first), ENTRY, remove)
+    return exchange.finish(by_group, exchange.decide(exchange.gather(by_group, send), ENTRY, first), remove)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
