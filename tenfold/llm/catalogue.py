@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tenfold.llm import anchors, avi, bitsliced, bpe, lines, suffixes
+from tenfold.llm import anchors, avi, bitsliced, bpe, lines, packing, suffixes, toxicity
 
 QUERIES: dict = {
+    "op1_pattern_grammar": toxicity.op1,
     "op2_bit_sliced_top_k": bitsliced.op2,
     "op3_motion_jpeg": avi.op3,
     "op5_line_windows": lines.op5,
     "op6_byte_pairs": bpe.op6,
+    "op7_best_fit": packing.op7,
     "op9_induced_suffixes": suffixes.op9,
     "op10_fixed_anchors": anchors.op10,
 }
