@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenfold.llm import anchors, avi, bitsliced, bpe, lines, packing, suffixes, toxicity
+from tenfold.llm import anchors, avi, bitsliced, bpe, lines, packing, rans, suffixes, toxicity
 
 QUERIES: dict = {
     "op1_pattern_grammar": toxicity.op1,
@@ -11,6 +11,7 @@ QUERIES: dict = {
     "op5_line_windows": lines.op5,
     "op6_byte_pairs": bpe.op6,
     "op7_best_fit": packing.op7,
+    "op8_interleaved_rans": rans.op8,
     "op9_induced_suffixes": suffixes.op9,
     "op10_fixed_anchors": anchors.op10,
 }
