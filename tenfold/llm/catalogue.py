@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tenfold.llm import anchors, avi, bitsliced, bpe, lines, packing, rans, suffixes, toxicity
+from tenfold.llm import anchors, avi, bitsliced, bpe, lines, packing, rans, suffixes, toxicity, weighted_minhash
 
 QUERIES: dict = {
     "op1_pattern_grammar": toxicity.op1,
     "op2_bit_sliced_top_k": bitsliced.op2,
     "op3_motion_jpeg": avi.op3,
+    "op4_weighted_minhash": weighted_minhash.op4,
     "op5_line_windows": lines.op5,
     "op6_byte_pairs": bpe.op6,
     "op7_best_fit": packing.op7,
