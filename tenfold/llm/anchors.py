@@ -2,9 +2,10 @@
 
 A run of 13 words that stands in two documents holds, wherever it starts, one whole block of the
 seven-word blocks that tile the other document.  So every document's non-overlapping blocks are
-indexed; every rolling window of seven words probes them; and around each hit in another document
-the run is extended to all windows of 13 words that hold it.  These are then compared exactly, by a
-128-bit hash of their words, and overlapping ones make up the maximal repeats.
+indexed, and every rolling window of seven words of the others probes them.  A block that was hit is
+extended, word by word, to all windows of 13 words around it whose rolling windows are shared too.
+These are then compared by a 96-bit hash of their words, and overlapping ones make up the maximal
+repeats.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from tenfold.llm.exchange import Group
 
 #: Words of a window; the longest block of which any window holds a whole one.
 WINDOW = 13
-ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("more", "u1")])
+ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("more", "u1")])
 PROBE = np.dtype("<u4")
 
 
@@ -38,60 +39,32 @@ def _found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
 
     def probes(group: Group):
-        """Distinct windows of `block` words, by whether they are anchors and in more than one text."""
-        keys, kinds = [], []
-        for a, _, raw, off in group.slices():
+        """Distinct windows of `block` words, those of one text first: per bucket their number, then all keys."""
+        keys, several = [], []
+        for _, _, raw, off in group.slices():
             starts, ends, row = words.spans(raw, off)
             h, whole = _runs(words.hashes(raw, starts, ends), row, block)
-            first = np.searchsorted(row, row[: len(h)])
             at = np.flatnonzero(whole)
-            anchor = (at - first[at]) % block == 0
-            order = np.lexsort([row[at], k := place(h[at])])
-            k, r, anchor = k[order], row[at][order], anchor[order]
-            new = np.ones(len(k), bool)
-            new[1:] = k[1:] != k[:-1]
-            cut = np.flatnonzero(new)
-            if len(cut):
-                more = np.maximum.reduceat(r, cut) != np.minimum.reduceat(r, cut)
-                keys.append(k[cut])
-                kinds.append(np.logical_or.reduceat(anchor, cut).astype(np.uint8) | more.astype(np.uint8) << 1)
+            # a text's windows stand together, so equal keys in order of place show whether texts differ
+            order = np.argsort(k := place(h[at]), kind="stable")
+            k, r = k[order], row[at][order]
+            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
+            keys.append(k[cut])
+            several.append(r[cut] != r[np.append(cut[1:], len(k)) - 1])
         if not keys:
             return np.zeros(0, np.int32), np.zeros(0, PROBE)
-        k, kind = np.concatenate(keys), np.concatenate(kinds)
-        if len(keys) > 1:
+        k, more = np.concatenate(keys), np.concatenate(several)
+        if len(keys) > 1 and len(k):
             order = np.argsort(k, kind="stable")
-            k, kind = k[order], kind[order]
+            k, more = k[order], more[order]
             cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            several = np.diff(np.append(cut, len(k))) > 1
-            k, kind = k[cut], np.bitwise_or.reduceat(kind, cut) | several.astype(np.uint8) << 1
-        return _by_kind(k, kind)
-
-    def _by_kind(k: np.ndarray, kind: np.ndarray):
-        """Per bucket: four counts, then the keys of each kind."""
-        bucket = (k >> np.uint64(32)).astype(np.int32)
-        order = np.lexsort([kind, bucket])
-        bucket, kind, k = bucket[order], kind[order], k[order]
-        used = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        counts = np.bincount(np.searchsorted(used, np.arange(len(k)), "right") * 4 - 4 + kind, minlength=4 * len(used)).astype(PROBE)
-        data = np.insert(k.astype(PROBE), np.repeat(used, 4), counts)
-        return np.insert(bucket, np.repeat(used, 4), np.repeat(bucket[used], 4)), data
+            more = np.logical_or.reduceat(more, cut) | (np.diff(np.append(cut, len(k))) > 1)
+            k = k[cut]
+        return exchange.counted(k, more)
 
     def shared(data: np.ndarray, of: np.ndarray):
-        """To each group its keys that are an anchor and stand in more than one text."""
-        keys, kinds, owners = [], [], []
-        for a, b in zip(cut := np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), np.append(cut[1:], len(of))):
-            counts = data[a : a + 4].astype(np.int64)
-            keys.append(data[a + 4 : b])
-            kinds.append(np.repeat(np.arange(4, dtype=np.uint8), counts))
-            owners.append(of[a + 4 : b])
-        k, kind, of = np.concatenate(keys), np.concatenate(kinds), np.concatenate(owners)
-        order = np.argsort(k, kind="stable")
-        k, kind, of = k[order], kind[order], of[order]
-        cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        size = np.diff(np.append(cut, len(k)))
-        found = np.bitwise_or.reduceat(kind, cut)
-        keep = np.repeat((found & 1 > 0) & ((size > 1) | (found & 2 > 0)), size)
-        return of[keep], k[keep]
+        """To each group its keys that stand in more than one text."""
+        return exchange.repeated(data, of)
 
     def extended(group: Group, answers: pa.Table):
         """Distinct windows of `window` words around the hits, with their first document."""
@@ -102,12 +75,17 @@ def _found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             lanes = [words.hashes(raw, starts, ends, lane) for lane in (0, 1)]
             h, whole = _runs(lanes[0], row, block)
             hit = whole & exchange.member(keys, place(h))
-            near = np.concatenate([[0], np.cumsum(hit)])
+            # the text's own block in each window of `window` words
+            number = np.arange(len(row)) - np.searchsorted(row, row)
             (p, whole), (q, _) = (_runs(lanes[lane], row, window, lane) for lane in (0, 1))
-            at = np.arange(len(p))
-            at = at[whole & (near[at + window - block + 1] > near[at])]
+            at = np.flatnonzero(whole)
+            own = at + -number[at] % block
+            at = at[hit[own]]
+            # extend: all windows of `block` words within must be shared too
+            near = np.concatenate([[0], np.cumsum(hit)])
+            at = at[near[at + window - block + 1] - near[at] == window - block + 1]
             e = np.zeros(len(at), ENTRY)
-            e["a"], e["b"], e["doc"] = p[at], q[at], group.ids[a + row[at]]
+            e["a"], e["b"], e["doc"] = p[at], q[at] >> np.uint64(32), group.ids[a + row[at]]
             out.append(_first(e))
         e = _first(np.concatenate(out)) if out else np.zeros(0, ENTRY)
         return (e["a"] % np.uint64(buckets)).astype(np.int32), e
@@ -121,7 +99,7 @@ def _found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for a, b, raw, off in group.slices():
             starts, ends, row = words.spans(raw, off)
             (p, whole), (q, _) = (_runs(words.hashes(raw, starts, ends, lane), row, window, lane) for lane in (0, 1))
-            at = exchange.found_in(firsts, p, q)
+            at = exchange.found_in(firsts, p, (q >> np.uint64(32)).astype(np.uint32))
             marks = np.zeros(len(row), np.int32)
             if len(firsts):
                 marks[: len(p)] = whole & (at >= 0) & (firsts["doc"][at] < group.ids[a + row[: len(p)]])

@@ -125,18 +125,17 @@ def finish(by_group: DataFrame, answers: DataFrame, work: Callable[[Group, pa.Ta
 
 
 def first_of(groups: np.ndarray, data: np.ndarray, rank: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For keys a, b from several groups, or marked `more`: to each of their groups the entry that is first by `rank`."""
+    """For keys a, b: to each group whose entry is not the first by `rank`, or is marked `more`, the one that is."""
     order = np.lexsort([data[c] for c in reversed(["a", "b", *rank])])
     data, groups = data[order], groups[order]
     new = np.ones(len(data), bool)
     new[1:] = (data["a"][1:] != data["a"][:-1]) | (data["b"][1:] != data["b"][:-1])
     key = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
-    size = np.diff(np.append(starts, len(data)))
-    more = np.maximum.reduceat(data["more"], starts) > 0 if len(starts) else np.zeros(0, bool)
-    wanted = (size > 1) | more
     answered = data[starts][key]
-    keep = wanted[key]
+    keep = data["more"] > 0
+    for c in rank:
+        keep |= data[c] != answered[c]
     return groups[keep], answered[keep]
 
 
@@ -148,6 +147,37 @@ def found_in(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((keys["a"][at] == a) & (keys["b"][at] == b), at, -1)
 
 
+KEY = np.dtype("<u4")
+
+
+def counted(keys: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers of keys (bucket above, key below) for `repeated`: per bucket the number of keys that occur once in the group, these, then the others."""
+    bucket = (keys >> np.uint64(32)).astype(np.int32)
+    order = np.lexsort([several, bucket])
+    keys, bucket, several = keys[order].astype(KEY), bucket[order], several[order]
+    if not len(keys):
+        return bucket, keys
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    once = np.add.reduceat(~several, cut, dtype=np.int64).astype(KEY)
+    return np.insert(bucket, cut, bucket[cut]), np.insert(keys, cut, once)
+
+
+def repeated(data: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From a bucket's `counted` keys: to each group those of its keys that occur more than once."""
+    cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    size = np.diff(np.append(cut, len(of)))
+    number = np.arange(len(of)) - np.repeat(cut, size) - 1
+    several = number >= np.repeat(data[cut].astype(np.int64), size)
+    keep = number >= 0
+    k, several, of = data[keep], several[keep], of[keep]
+    order = np.argsort(k, kind="stable")
+    k, several, of = k[order], several[order], of[order]
+    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    times = np.diff(np.append(cut, len(k)))
+    wanted = np.repeat((times > 1) | np.logical_or.reduceat(several, cut), times)
+    return of[wanted], k[wanted]
+
+
 def member(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Whether each of x is among sorted keys."""
     if not len(keys):
