@@ -279,6 +279,22 @@ def value_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.transitions(derived.observations(table(spark, sf_dir, "events")))
 
 
+@query(
+    f"""WITH {OBSERVED}, a AS (SELECT *, CASE WHEN text = lag(text) OVER w THEN 0 ELSE 1 END AS change FROM o WINDOW w AS (PARTITION BY key ORDER BY pos)),
+b AS (SELECT *, sum(change) OVER (PARTITION BY key ORDER BY pos) AS run FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY pos) AS n FROM b),
+d AS (SELECT *, lag(text, 1, '') OVER (PARTITION BY key ORDER BY pos) AS old FROM c WHERE n = 2)
+SELECT key::VARCHAR AS key, frame_index, old, text AS "new" FROM d WHERE old <> text"""
+)
+def streaming_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes from a stream over the events files."""
+    from tenfold.sources.shared import folder
+    from tenfold.streaming import changes
+
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return changes.run(changes.transitions(derived.observations(events)), folder(spark, "stream"))
+
+
 @query("""WITH a AS (SELECT user_id, event_id, value > 50 AS hot, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
 b AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS island FROM a WHERE hot)
 SELECT user_id, min(pos) AS start, max(pos) + 1 AS "end" FROM b GROUP BY user_id, island""")
