@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tenfold.llm import common
 
@@ -110,8 +111,6 @@ def decide(packed: DataFrame, kind: np.dtype, work) -> DataFrame:
 
 def finish(by_group: DataFrame, answers: DataFrame, work: Callable[[Group, pa.Table], tuple]) -> DataFrame:
     """doc_id, kept, n, n_removed, n_spans and rest of each row; `work` gives the kept bytes and the three counts."""
-    rest = by_group.schema["rest"].dataType.simpleString()
-
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
         group = Group(table)
         texts, n, removed, spans = work(group, found)
@@ -120,7 +119,7 @@ def finish(by_group: DataFrame, answers: DataFrame, work: Callable[[Group, pa.Ta
         counts = [pa.array(np.asarray(x, np.int64)) for x in (n, removed, spans)]
         return pa.Table.from_arrays([own["doc_id"], kept, *counts, own["rest"]], names=["doc_id", "kept", "n", "n_removed", "n_spans", "rest"])
 
-    schema = f"doc_id long, kept binary, n long, n_removed long, n_spans long, rest {rest}"
+    schema = StructType.fromDDL("doc_id long, kept binary, n long, n_removed long, n_spans long").add(by_group.schema["rest"])
     return by_group.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)
 
 

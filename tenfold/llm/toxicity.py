@@ -255,14 +255,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def _regression(rows: list) -> tuple[np.ndarray, float]:
     """Logistic weights, kept from falling below a small positive one so that no match lowers a score."""
     k = len(MATCHES)
-    prior = np.array([0.5 if {"negated", "reported"} & set(m) else 1.5 for m in MATCHES])
-    w, bias = prior.copy(), -3.0
+    prior = np.array([0.8 if {"negated", "reported"} & set(m) else 2.5 for m in MATCHES])
+    w, bias = prior.copy(), -2.5
     if rows:
         y = np.array([float(r.y) for r in rows])
         n = np.array([float(r["count"]) for r in rows])
         x = np.log1p(np.array([list(r.x) for r in rows]))
         x = np.column_stack([x, np.ones(len(x))])
-        theta, mean, loose = np.append(w, bias), np.append(prior, -3.0), np.append(np.full(k, 0.05), 0.01)
+        theta, mean, loose = np.append(w, bias), np.append(prior, -2.5), np.append(np.full(k, 0.05), 0.01)
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
             gradient = x.T @ (n * (p - y)) + loose * (theta - mean)
