@@ -45,16 +45,18 @@ def _found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             starts, ends, row = words.spans(raw, off)
             h, whole = _runs(words.hashes(raw, starts, ends), row, block)
             at = np.flatnonzero(whole)
+            if not len(at):
+                continue
             # a text's windows stand together, so equal keys in order of place show whether texts differ
             order = np.argsort(k := place(h[at]), kind="stable")
             k, r = k[order], row[at][order]
-            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
+            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             keys.append(k[cut])
             several.append(r[cut] != r[np.append(cut[1:], len(k)) - 1])
         if not keys:
             return np.zeros(0, np.int32), np.zeros(0, PROBE)
         k, more = np.concatenate(keys), np.concatenate(several)
-        if len(keys) > 1 and len(k):
+        if len(keys) > 1:
             order = np.argsort(k, kind="stable")
             k, more = k[order], more[order]
             cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
