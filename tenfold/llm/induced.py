@@ -81,23 +81,23 @@ class Queue:
         while run:
             x = run.pop(0)
             if isinstance(x, str):
-                x = np.memmap(x, TUPLE, "r")
+                x = np.memmap(x, TUPLE, "c")
             else:
                 self.held -= x.nbytes
                 more = [x]
                 while run and not isinstance(run[0], str) and sum(map(len, more)) < CHUNK:
                     more.append(run.pop(0))
                     self.held -= more[-1].nbytes
-                x = np.concatenate(more) if len(more) > 1 else x
+                x = np.concatenate([y.view(np.uint8) for y in more]).view(TUPLE)
             for a in range(0, len(x), CHUNK):
-                yield np.array(x[a : a + CHUNK])
+                yield x[a : a + CHUNK]
 
     def backward(self, symbol: int) -> Iterator[np.ndarray]:
         """The symbol's tuples in reverse order, in chunks."""
         for x in reversed(self.runs[symbol]):
-            x = np.memmap(x, TUPLE, "r") if isinstance(x, str) else x
+            x = np.memmap(x, TUPLE, "c") if isinstance(x, str) else x
             for b in range(len(x), 0, -CHUNK):
-                yield np.array(x[max(0, b - CHUNK) : b])[::-1]
+                yield x[max(0, b - CHUNK) : b][::-1].copy()
 
 
 def _least_between(lcp: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -286,10 +286,10 @@ class SuffixSorter:
         m = len(rank)
         reach = np.append(seeds[k:], np.full(min(k, m), self.n + self.depth)) - seeds
         if m < 2 or reach.min() >= self.depth or rank.max() == m:
-            return np.argsort(rank, kind="stable")
+            return np.argsort(rank)
         key = rank.astype(np.uint64) << np.uint64(32)
         key[: m - k] |= rank[k:].astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = key[order]
         rank = np.empty(m, np.int64)
         rank[order] = np.cumsum(np.append(True, new[1:] != new[:-1]))

@@ -6,8 +6,10 @@ windows in a row that belong to one substring is a piece.  Substrings that occur
 rule their pieces out; the other pieces go, each content once from a group of documents with its
 first place, to the shard that their substring's hash names.  A shard sorts all suffixes of its
 pieces by external induced sorting, and suffixes in a row with `length` bytes in common are one
-string: its first place stays, all others are removed.  Equal pieces are sorted once, so what a shard
-holds depends on the distinct repeated text, not on how often it occurs.
+string: its first place stays, all others are removed.  Equal pieces are sorted once, and pieces that
+are the only one of their substring not at all, as they share no window with others: all their places
+but the first are removed as they are.  So what a shard sorts depends on the distinct text around the
+ends of repeats, not on how often or how far they repeat.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from tenfold.llm.induced import SuffixSorter
 LENGTH, SUBSTRING = 100, 32
 #: Windows looked at together, and a shard's memory for sorting.
 BLOCK, MEMORY = 1 << 17, 64 << 20
+#: Estimated input bytes of a group and behind a shard.
+GROUP, SHARD = 2 << 20, 1 << 20
 #: Not in UTF-8: ends each piece in a shard's text.
 END = 255
 
 KEY = np.dtype("<u4")
 PIECE = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("row", "<i4"), ("start", "<i8"), ("length", "<i4")])
 SPAN = np.dtype([("row", "<i4"), ("start", "<i8"), ("end", "<i8")])
-SENT = "b int, g int, row int, start long, doc long, bytes binary"
+SENT = "b int, g int, row int, start long, doc long, anchor long, bytes binary"
 
 
 def pieces(group: Group, length: int = LENGTH, substring: int = SUBSTRING) -> Iterator[np.ndarray]:
@@ -82,7 +86,7 @@ def _next(off: np.ndarray, a: int, n: int) -> np.ndarray:
 
 
 def _found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    groups, buckets = common.parts_for(docs, exchange.GROUP), common.parts_for(docs, exchange.BUCKET)
+    groups, buckets, shards = (common.parts_for(docs, x) for x in (GROUP, exchange.BUCKET, SHARD))
 
     def place(anchor: np.ndarray) -> np.ndarray:
         return (anchor >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | anchor & np.uint64(0xFFFFFFFF)
@@ -93,27 +97,11 @@ def _found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if not found:
             return np.zeros(0, np.int32), np.zeros(0, KEY)
         k, n = np.unique(np.concatenate(found), return_counts=True)
-        bucket, several = (k >> np.uint64(32)).astype(np.int32), n > 1
-        order = np.lexsort([several, bucket])
-        k, bucket, several = k[order], bucket[order], several[order]
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        once = np.add.reduceat(~several, cut).astype(KEY)
-        return np.insert(bucket, cut, bucket[cut]), np.insert(k.astype(KEY), cut, once)
+        return exchange.counted(k, n > 1)
 
     def shared(data: np.ndarray, of: np.ndarray):
         """To each group its keys that occur more than once in the corpus."""
-        cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        size = np.diff(np.append(cut, len(of))) - 1
-        number = np.arange(len(of)) - np.repeat(cut, size + 1) - 1
-        several = number >= np.repeat(data[cut].astype(np.int64), size + 1)
-        keep = number >= 0
-        k, several, of = data[keep], several[keep], of[keep]
-        order = np.argsort(k, kind="stable")
-        k, several, of = k[order], several[order], of[order]
-        cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        times = np.diff(np.append(cut, len(k)))
-        wanted = np.repeat((times > 1) | np.logical_or.reduceat(several, cut), times)
-        return of[wanted], k[wanted]
+        return exchange.repeated(data, of)
 
     def candidates(group: Group, keys: np.ndarray) -> np.ndarray:
         """Pieces with shared anchors, equal ones together, by place."""
@@ -132,10 +120,10 @@ def _found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         p = p[firsts(p)]
         at = group.off[p["row"]] + p["start"]
         data = [group.raw[i:j].tobytes() for i, j in zip(at, at + p["length"])]
-        columns = [p["anchor"] % np.uint64(buckets), np.full(len(p), key[0].as_py()), p["row"], p["start"], group.ids[p["row"]]]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        columns = [p["anchor"] % np.uint64(shards), np.full(len(p), key[0].as_py()), p["row"], p["start"], group.ids[p["row"]], p["anchor"]]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         arrays = [pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)]
-        return pa.Table.from_arrays([*arrays, pa.array(data, pa.binary())], names=["b", "g", "row", "start", "doc", "bytes"])
+        return pa.Table.from_arrays([*arrays, pa.array(data, pa.binary())], names=["b", "g", "row", "start", "doc", "anchor", "bytes"])
 
     def sort(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         spans, owner = repeats(table, length)
@@ -155,14 +143,15 @@ def _found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             at = group.off[again["row"]] + again["start"]
             np.add.at(marks, at, 1)
             np.add.at(marks, at + again["length"], -1)
-        gone = np.cumsum(marks[:-1]) > 0
+        gone = np.cumsum(marks[:-1], dtype=np.int32) > 0
         starts = gone.copy()
         starts[1:] &= ~gone[:-1]
         border = group.off[(group.off > 0) & (group.off < len(gone))]
         starts[border] = gone[border]
-        sums, runs = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, starts))
-        texts = [group.raw[a:b][~gone[a:b]].tobytes() if sums[b] > sums[a] else group.raw[a:b].tobytes() for a, b in zip(group.off[:-1], group.off[1:])]
-        return texts, np.diff(group.off), np.diff(sums[group.off]), np.diff(runs[group.off])
+        ranges = list(zip(group.off[:-1], group.off[1:]))
+        lost = [int(np.count_nonzero(gone[a:b])) for a, b in ranges]
+        texts = [group.raw[a:b][~gone[a:b]].tobytes() if n else group.raw[a:b].tobytes() for n, (a, b) in zip(lost, ranges)]
+        return texts, np.diff(group.off), lost, [int(np.count_nonzero(starts[a:b])) for a, b in ranges]
 
     by_group = exchange.dealt(docs, groups)
     hits = exchange.decide(exchange.gather(by_group, anchors), KEY, shared)
@@ -178,7 +167,7 @@ def _found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeats(table: pa.Table, length: int = LENGTH, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """SPAN entries that first places lose, and their groups: rows g, row, start, doc and bytes are pieces with a place.
+    """SPAN entries that first places lose, and their groups: rows g, row, start, doc, anchor and bytes are pieces with a place.
 
     Of equal pieces all but the first place are lost as a whole; what the first loses, the suffix array tells.
     """
@@ -194,6 +183,12 @@ def repeats(table: pa.Table, length: int = LENGTH, memory: int = MEMORY) -> tupl
     order = np.lexsort([start, doc, piece])
     first = order[np.flatnonzero(np.concatenate([[True], piece[order][1:] != piece[order][:-1]]))]
     lost = (doc != doc[first][piece]) | (start != start[first][piece])
+    # a piece whose substring has no other piece shares no window with any, as equal windows share theirs
+    _, kind, pieces_of = np.unique(table["anchor"].to_numpy()[first], return_inverse=True, return_counts=True)
+    contested = pieces_of[kind] > 1
+    length_of, raw = sizes, raw[np.repeat(contested, sizes)]
+    first, sizes = first[contested], sizes[contested]
+    off = np.concatenate([[0], np.cumsum(sizes)])
     # place of each piece's first byte in the corpus: rank of the document, then the position
     place = np.searchsorted(np.unique(doc), doc[first]).astype(np.int64) << np.int64(32) | start[first]
     text = np.insert(raw, off[1:], END)
@@ -246,7 +241,7 @@ def repeats(table: pa.Table, length: int = LENGTH, memory: int = MEMORY) -> tupl
     own = owner[a]
     row, g = table["row"].to_numpy(), table["g"].to_numpy()
     whole, some = np.zeros(int(lost.sum()), SPAN), np.zeros(len(a), SPAN)
-    whole["row"], whole["start"], whole["end"] = row[lost], start[lost], start[lost] + sizes[piece[lost]]
+    whole["row"], whole["start"], whole["end"] = row[lost], start[lost], start[lost] + length_of[piece[lost]]
     at = first[own]
     some["row"], some["start"], some["end"] = row[at], start[at] + a - begin[own], start[at] + b - begin[own] + length
     return np.concatenate([whole, some]), np.concatenate([g[lost], g[at]]).astype(np.int32)
