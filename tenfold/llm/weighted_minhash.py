@@ -8,9 +8,12 @@ same with a chance of their weighted Jaccard similarity.  Texts that agree in al
 candidates, and candidates are verified by the weighted Jaccard similarity itself.
 
 Texts of the same words are one node.  A bucket of a band does not emit its pairs: first its texts
-meet a leader each; then, where a bucket still holds several components, every text outside its
-largest one meets the texts of other components.  Pairs within a component need no test, so no link
-between components is lost, and a large group of copies costs one pair a text.
+meet a leader each.  Pairs within a component need no test after that.  Where buckets still hold
+several components, their texts meet by prefix filter: ordered by how many of these texts have a
+shingle, the rarest first, two texts can only be similar if they share one among those that make up
+the first fifth of each one's weight.  Every text outside its bucket's largest component meets the
+texts of other components that share one.  So no link between components is lost, and a large group of
+copies costs few pairs a text.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenfold.llm import common, words
@@ -35,6 +38,8 @@ CELLS, RANDOM = 1 << 18, 1 << 14
 AT_ONCE = 1 << 20
 #: Leaders of a bucket differ by band, modulo this.
 LEADERS = 2
+#: Allowance for rounding in bounds; what passes them is verified.
+SLACK = 1e-4
 
 
 def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,6 +226,40 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return common.written(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "minhash-texts")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, with the largest of these."""
+    sizes = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("k")).filter("k > 1")
+    mixed = common.written(mixed.select("band", "key", F.col("most.component").alias("largest")), "minhash-mixed")
+    return common.written(placed.join(mixed, ["band", "key"]), "minhash-inside")
+
+
+def prefixes(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
+    """node, shingle, after, total: of each node the shingles that fewest of the nodes have, until what is left weighs less than `least` of it.
+
+    `total` is the node's weight, `after` that of the shingle and those after it; shingles of one node alone are left out.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = common.utf8(batch.column(1))
+            for a, b in common.slices(off, AT_ONCE):
+                h, row, n = counted(*shingles(raw[off[a] : off[b]], off[a : b + 1] - off[a]))
+                weight = n * idf[_cells(h)].astype(np.float64)
+                total = np.bincount(row, weight, b - a)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), batch.column(0).take(pa.array(row + a)), pa.array(weight.astype(np.float32)), pa.array(total.astype(np.float32))], names=["shingle", "node", "weight", "total"])
+
+    found = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(rows, "shingle long, node binary, weight float, total float")
+    found = common.written(found, "minhash-shingles")
+    holders = common.written(found.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-holders")
+    # a shingle that one node alone has joins nothing, but counts for what stands before the others
+    ranked = found.join(holders, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    order = Window.partitionBy("node").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("total").cast("double")
+    after = total - F.coalesce(F.sum(F.col("weight").cast("double")).over(order), F.lit(0.0))
+    return ranked.withColumn("after", after).filter((F.col("after") >= total * (least - SLACK)) & (F.col("n") > 1)).select("node", "shingle", "after", total.alias("total"))
+
+
 def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, places: int = PLACES) -> DataFrame:
     """doc_id, node and class_id, the smallest doc_id of all texts that links of similarity `least` or more join.
 
@@ -246,16 +285,16 @@ def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, places:
     links = common.written(verified(pairs, texts, idf, least), "minhash-links")
     joined = common.written(components(links), "minhash-components")
 
-    # buckets that hold several components: all nodes but those of the largest meet those of others
+    # buckets that hold several components: their nodes meet those of other components by prefix
     placed = members.select("band", "key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = common.written(placed, "minhash-placed")
-    sizes = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("k")).filter("k > 1")
-    mixed = common.written(mixed.select("band", "key", F.col("most.component").alias("largest")), "minhash-mixed")
-    inside = common.written(placed.join(mixed, ["band", "key"]), "minhash-inside")
-    one = inside.filter("component <> largest").select("band", "key", F.col("node").alias("x"), F.col("component").alias("xc"))
-    other = inside.select("band", "key", F.col("node").alias("y"), F.col("component").alias("yc"), "largest")
-    across = one.join(other, ["band", "key"]).filter("xc <> yc AND (yc = largest OR x < y)")
+    inside = _mixed(common.written(placed, "minhash-placed"))
+    nodes_inside = common.written(inside.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside")), "minhash-nodes-inside")
+    prefix = common.written(prefixes(nodes_inside.select("node"), texts, idf, least).join(nodes_inside, "node"), "minhash-prefixes")
+    one = prefix.filter("outside").select("shingle", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("after").alias("xa"), F.col("total").alias("xt"))
+    other = prefix.select("shingle", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("outside").alias("yo"), F.col("after").alias("ya"), F.col("total").alias("yt"))
+    # what two texts share from their first common shingle on is no more than either has from there
+    enough = F.least("xa", "ya") >= (F.col("xt") + F.col("yt")) * (least / (1 + least) - SLACK)
+    across = one.join(other, "shingle").filter(F.expr("xc <> yc AND (NOT yo OR x < y)") & enough)
     across = across.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     more = common.written(verified(across, texts, idf, least), "minhash-links")
     if not more.isEmpty():
