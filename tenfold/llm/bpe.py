@@ -12,6 +12,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -121,7 +122,7 @@ def byte_pairs(path: str) -> BytePairs:
 @functools.lru_cache(2)
 def encoder(path: str, pattern: str) -> Encoder:
     pairs = byte_pairs(path)
-    return Encoder(pattern, lambda tokens: [np.array(pairs.encode(t.encode()), IDS).tobytes() for t in tokens])
+    return Encoder(pattern, lambda tokens: [array("I", pairs.encode(t.encode())).tobytes() for t in tokens])
 
 
 def _mapped(path: str, pattern: str, schema: list, of):

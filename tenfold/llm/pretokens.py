@@ -8,75 +8,88 @@ the packed ids of their pieces.  Nothing depends on what is in memory but speed.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import regex
 
-#: White space next to a space: such texts are split as a whole.
-IRREGULAR = regex.compile(r"\s \S|\s\s+| \s|^ | $")
+IDS = np.dtype("<u4")
 #: Pieces longer than this are resolved each time and not remembered.
 LONGEST = 48
-IDS = np.dtype("<u4")
+
+#: All white space.
+WHITE = [c for c in map(chr, range(0x10000)) if c.isspace()]
 
 Resolve = Callable[[Sequence[str]], list[bytes]]
 
 
 class Memory:
-    """What was asked for lately: two generations of at most `size` entries, the older dropped as a whole."""
-
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
-
-    def take(self, keys: set[str]) -> tuple[dict[str, bytes], list[str]]:
-        """The known ones of `keys`, and the others in order."""
-        known = {}
-        for source in (self.new, self.old):
-            for k in keys & source.keys():
-                known[k] = source[k]
-            keys = keys - source.keys()
-        return known, sorted(keys)
-
-    def put(self, entries: dict[str, bytes]) -> None:
-        if len(self.new) + len(entries) > self.size:
-            self.old, self.new = self.new, {}
-        self.new.update(entries)
+    """What was asked for lately: two generations of about `size` entries, the older dropped as a whole."""
+
+    def __init__(self, size: int, fill: Callable[[list[str]], list[bytes]]):
+        self.size, self.fill, self.old = size, fill, {}
+        self.now: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def load(self, keys: set[str]) -> Callable[[str], bytes]:
+        """A lookup that holds for `keys` until the next load."""
+        for k in self.long:
+            del self.now[k]
+        if len(self.now) > self.size:
+            self.old, self.now = self.now, {}
+        unseen = keys.difference(self.now)
+        if self.old:
+            again = self.old.keys() & unseen
+            self.now.update(zip(again, map(self.old.__getitem__, again)))
+            unseen -= again
+        unseen = list(unseen)
+        self.now.update(zip(unseen, self.fill(unseen)))
+        self.long = [k for k in unseen if len(k) > LONGEST]
+        return self.now.__getitem__
+
+
+def _regular(text: str) -> bool:
+    """Whether each space stands between two characters that are not white space, and the text ends in none; other texts are split as a whole."""
+    for c in WHITE:
+        if c in text and (text[-1] == c or text[0] == " " or f"{c} " in text or f" {c}" in text):
+            return False
+    return True
 
 
 class Encoder:
     """Texts to ids; `resolve` gives the packed ids of distinct pre-tokens."""
 
-    def __init__(self, pattern: str, resolve: Resolve, size: int = 250_000):
-        self.split, self.resolve = regex.compile(pattern).findall, resolve
-        self.pieces, self.tokens = Memory(size), Memory(size)
-
-    def _tokens(self, wanted: set[str]) -> dict[str, bytes]:
-        known, unseen = self.tokens.take(wanted)
-        got = dict(zip(unseen, self.resolve(unseen)))
-        self.tokens.put({k: v for k, v in got.items() if len(k) <= LONGEST})
-        return known | got
+    def __init__(self, pattern: str, resolve: Resolve, pieces: int = 250_000, tokens: int = 400_000):
+        self.split = regex.compile(pattern).findall
+        self.tokens = Memory(tokens, resolve)
+        self.pieces = Memory(pieces, self._fill)
 
-    def _pieces(self, wanted: set[str]) -> dict[str, bytes]:
+    def _fill(self, pieces: list[str]) -> list[bytes]:
         """Packed ids of pieces, each with one space before it."""
-        known, unseen = self.pieces.take(wanted)
-        if unseen:
-            flat = self.split(" " + " ".join(unseen))
-            ids = self._tokens(set(flat))
-            got, at = {}, -1
-            parts: list[list[bytes]] = [[] for _ in unseen]
-            for token in flat:
-                at += token[0] == " "
-                parts[at].append(ids[token])
-            got = dict(zip(unseen, map(b"".join, parts)))
-            self.pieces.put({k: v for k, v in got.items() if len(k) <= LONGEST})
-            known |= got
-        return known
+        if not pieces:
+            return []
+        flat = self.split(" " + " ".join(pieces))
+        ids = list(map(self.tokens.load(set(flat)), flat))
+        starts = [i for i, t in enumerate(flat) if t[0] == " "]
+        starts.append(len(flat))
+        return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(starts, starts[1:])]
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [None if IRREGULAR.search(t) else t.split(" ") for t in texts]
-        whole = [self.split(t) if s is None else self.split(s[0]) for t, s in zip(texts, split)]
-        tokens = self._tokens(set().union(*whole)).__getitem__
-        pieces = self._pieces(set().union(*(s[1:] for s in split if s is not None))).__getitem__
-        packed = (b"".join([*map(tokens, w), *map(pieces, () if s is None else s[1:])]) for w, s in zip(whole, split))
-        return [np.frombuffer(p, IDS) for p in packed]
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small lists, none in a cycle
+        try:
+            return self._encoded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encoded(self, texts: Sequence[str]) -> list[np.ndarray]:
+        split = [t.split(" ") for t in texts]
+        regular = list(map(_regular, texts))
+        lookup = self.pieces.load(set().union(*(s[1:] for s, r in zip(split, regular) if r)))
+        joined = [b"".join(map(lookup, s[1:])) if r else b"" for s, r in zip(split, regular)]
+        heads = [self.split(s[0] if r else t) for t, s, r in zip(texts, split, regular)]
+        token = self.tokens.load(set().union(*heads))
+        return [np.frombuffer(b"".join(map(token, h)) + j, IDS) for h, j in zip(heads, joined)]

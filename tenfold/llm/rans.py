@@ -11,8 +11,8 @@ that all executors share, so blocks are decoded in parallel wherever they are.
 from __future__ import annotations
 
 import functools
-import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,15 +115,25 @@ def decode_blocks(blocks: list[tuple[bytes, bytes, int]], f: np.ndarray, before:
     return [ids[:n] for ids, (_, _, n) in zip(out, blocks)]
 
 
+def _letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next free one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 @functools.lru_cache(2)
 def encoder(path: str, pattern: str) -> Encoder:
-    """The library's tokenizer over distinct pre-tokens; special tokens are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    """The library's tokenizer over distinct pre-tokens; special tokens are ordinary text.
+
+    The texts are split by `pattern`, which is that of the library's byte-level splitter, and each
+    pre-token goes to the library's model, as the library itself does with each.
+    """
+    model, letters = Tokenizer.from_file(path).model, _letters()
 
     def resolve(tokens: list[str]) -> list[bytes]:
-        return [np.array(e.ids, IDS).tobytes() for e in tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
+        plain = [x.replace(" ", letters[32]) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(letters) for x in tokens]
+        return [array("I", [t.id for t in found]).tobytes() for found in map(model.tokenize, plain)]
 
     return Encoder(pattern, resolve)
 
@@ -222,24 +232,34 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.groupBy("part", segment).applyInArrow(rows, "part long, block long, doc long, null boolean, first boolean, n long, at long, crc long")
 
 
-@functools.lru_cache(64)
-def _zeros(n: int) -> list[int]:
-    """The matrix over GF(2) that n zero bytes apply to a CRC-32."""
-    square = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
-    times = lambda m, v: functools.reduce(lambda a, i: a ^ m[i] if v >> i & 1 else a, range(32), 0)
-    product, n = [1 << i for i in range(32)], n * 8
-    while n:
-        if n & 1:
-            product = [times(square, v) for v in product]
-        square = [times(square, v) for v in square]
-        n >>= 1
-    return product
+def _times(matrix: list[int], v: int) -> int:
+    """A matrix over GF(2), given by its columns, times a vector."""
+    out, i = 0, 0
+    while v:
+        if v & 1:
+            out ^= matrix[i]
+        v, i = v >> 1, i + 1
+    return out
+
+
+@functools.lru_cache(1)
+def _zeros() -> list[list[int]]:
+    """What 2 ** k zero bytes do to a CRC-32, for each k."""
+    m = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
+    for _ in range(3):
+        m = [_times(m, v) for v in m]
+    out = [m]
+    for _ in range(40):
+        out.append(m := [_times(m, v) for v in m])
+    return out
 
 
 def joined_crc(first: int, second: int, length: int) -> int:
     """The CRC-32 of two stretches of bytes from theirs; `length` is the second's."""
-    m = _zeros(length)
-    return functools.reduce(lambda a, i: a ^ m[i] if first >> i & 1 else a, range(32), 0) ^ second
+    for k, m in enumerate(_zeros()):
+        if length >> k & 1:
+            first = _times(m, first)
+    return first ^ second
 
 
 def documents(shares: DataFrame) -> DataFrame:
