@@ -110,8 +110,11 @@ class Lexicon:
         self.found = ahocorasick.Automaton()
         own = {w + "$": ((k,), 1.0) for k in (INSULT, THREAT) for w in FIXED[k]}
         own |= {w: ((INSULT,), x) for w, x in entries.items()}
+        same: dict[str, list[tuple]] = defaultdict(list)  # a whole word and a beginning may have the same letters
         for w, (symbol, weight) in own.items():
-            self.found.add_word(w.rstrip("$"), (len(w.rstrip("$")), w[-1] == "$", symbol, weight)) if w.rstrip("$") not in self.found else None
+            same[w.rstrip("$")].append((w[-1] == "$", symbol, weight))
+        for letters, several in same.items():
+            self.found.add_word(letters, (len(letters), several))
         self.found.make_automaton()
 
     def __reduce__(self):
@@ -120,12 +123,13 @@ class Lexicon:
     def hits(self, text: str) -> dict[int, tuple]:
         """Start of each insult or threat in a lower-case text, and its symbol and weight."""
         out = {}
-        for last, (n, whole, symbol, weight) in self.found.iter(text):
+        for last, (n, several) in self.found.iter(text):
             start = last + 1 - n
-            if (start and (text[start - 1].isalnum() or text[start - 1] == "_")) or (whole and text[last + 1 : last + 2].isalnum()):
+            if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
                 continue
-            if start not in out or out[start][1] < weight:
-                out[start] = (symbol, weight)
+            for whole, symbol, weight in several:
+                if not (whole and text[last + 1 : last + 2].isalnum()) and (start not in out or out[start][1] < weight):
+                    out[start] = (symbol, weight)
         return out
 
     def matches(self, text: str) -> np.ndarray:
@@ -142,10 +146,12 @@ class Lexicon:
             ends = CLAUSE.search(text, at).end()
             state = 0
             for w in WORD.finditer(text, begin, ends):
-                symbol, weight = hits.get(w.start()) or (self.function.get(w[0], (OTHER,)), 0.0)
-                state, put = ARCS[state][symbol]
-                if put in _INDEX and weight:
-                    out[_INDEX[put]] += weight
+                # after an apostrophe a word may have more hits
+                own = [hits[i] for i in range(w.start(), w.end()) if i in hits] or [(self.function.get(w[0], (OTHER,)), 0.0)]
+                for symbol, weight in own:
+                    state, put = ARCS[state][symbol]
+                    if put in _INDEX and weight:
+                        out[_INDEX[put]] += weight
         return out
 
 
@@ -195,7 +201,10 @@ def _good(toxic: dict[str, int], other: dict[str, int], n_toxic: int, n_other: i
 
 
 def _entries(texts: list[set[str]], odds: dict[str, float]) -> dict[str, float]:
-    """Entries that between them explain the toxic texts, most first; a text once explained (a copy's, say) speaks for no other entry."""
+    """Entries that between them explain the toxic texts, most first; a text once explained (a copy's, say) speaks for no other entry.
+
+    Of a whole word and its beginnings that explain as much at the same odds, the longest beginning is the entry.
+    """
     gain = Counter(g for t in texts for g in t)
     holders: dict[str, list[int]] = defaultdict(list)
     for i, t in enumerate(texts):
@@ -206,6 +215,9 @@ def _entries(texts: list[set[str]], odds: dict[str, float]) -> dict[str, float]:
         g = max(gain, key=lambda g: (gain[g], len(g), g))
         if gain[g] < max(2, len(texts) // 500):
             break
+        if g[-1] == "$":
+            begins = (g[:n] for n in range(min(LONGEST, len(g) - 1), SHORTEST - 1, -1))
+            g = next((b for b in begins if gain[b] == gain[g] and odds[b] == odds[g]), g)
         out[g] = min(4.0, odds[g] / LEAST_ODDS)
         for i in [i for i in holders[g] if i in left]:
             left.discard(i)

@@ -58,6 +58,23 @@ def test_clauses_not_words():
     assert m("") == {} and m("İdiot\n") is not None
 
 
+def test_beginnings_beside_whole_words():
+    lexicon = toxicity.Lexicon({"loser": 2.0, "trash$": 3.0})
+    m = lambda t: {k: round(float(v), 3) for k, v in zip(toxicity.MATCHES, lexicon.matches(t)) if v}
+    assert m("losers") == m("loser") == {("insult",): 2.0}
+    assert m("trash") == {("insult",): 3.0} and m("trashy") == {}
+    assert m("l'idiot") == m("l’idiot") == {("insult",): 1.0}
+    assert m("tu l'idiot'moron") == {("insult", "targeted"): 2.0}
+
+
+def test_beginnings_before_whole_words():
+    whole = {g: 3.0 for g in ("clo", "clow", "clown", "clown$")}
+    assert toxicity._entries([set(whole)] * 4, whole) == {"clown": 1.0}
+    assert toxicity._entries([set(whole)] * 4, whole | {"clown": 6.0, "clow": 6.0, "clo": 6.0, "clown$": 9.0}) == {"clown$": 3.0}
+    long = {g: 3.0 for g in toxicity._grams("schwachkopf")}
+    assert toxicity._entries([set(long)] * 4, long) == {"schwachkop": 1.0}
+
+
 def test_toxicity_learns(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(d, labels)
