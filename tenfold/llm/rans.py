@@ -13,7 +13,7 @@ from __future__ import annotations
 import functools
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tenfold.llm import common
-from tenfold.llm.pretokens import IDS, Encoder
+from tenfold.llm.pretokens import IDS, Encoder, Resolve
 
 #: Binary digits of the sum of a table's frequencies; ids in a block, its coders, and steps between checkpoints.
 SCALE, BLOCK, LANES, CHECKPOINT = 18, 1 << 15, 256, 64
@@ -122,20 +122,37 @@ def _letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Encoder(Encoder):
+    """An encoder that leaves texts with any of the file's added tokens to the library's tokenizer as a whole."""
+
+    def __init__(self, pattern: str, resolve: Resolve, library: Tokenizer):
+        super().__init__(pattern, resolve)
+        self.library, self.added = library, [t.content for t in library.get_added_tokens_decoder().values()]
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        whole = {i for a in self.added for i, t in enumerate(texts) if a in t}
+        out = super().encode(["" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
+        for i in whole:
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, IDS)
+        return out
+
+
 @functools.lru_cache(2)
 def encoder(path: str, pattern: str) -> Encoder:
-    """The library's tokenizer over distinct pre-tokens; special tokens are ordinary text.
+    """The library's tokenizer over distinct pre-tokens.
 
     The texts are split by `pattern`, which is that of the library's byte-level splitter, and each
-    pre-token goes to the library's model, as the library itself does with each.
+    pre-token goes to the library's model, as the library itself does with each.  Texts that hold an
+    added token of the file go to the library as they are.
     """
-    model, letters = Tokenizer.from_file(path).model, _letters()
+    library, letters = Tokenizer.from_file(path), _letters()
+    model = library.model
 
     def resolve(tokens: list[str]) -> list[bytes]:
         plain = [x.replace(" ", letters[32]) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(letters) for x in tokens]
         return [array("I", [t.id for t in found]).tobytes() for found in map(model.tokenize, plain)]
 
-    return Encoder(pattern, resolve)
+    return _Encoder(pattern, resolve, library)
 
 
 FILE = "part long, block long, n long, table binary, table_crc long, code binary, marks binary, code_crc long, docs binary"

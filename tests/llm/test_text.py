@@ -358,6 +358,17 @@ def test_ids_in_files(spark, table, empty, tmp_path):
     assert rans.documents(rans.read(spark, f"{tmp_path}/none")).count() == 0
 
 
+def test_added_tokens_in_files(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "plain words", "<|endoftext|><|endoftext|>", "x<|endoftext| > y", "  lead <|endoftext|>\n\n end "]
+    rans.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON, public_tokenizers.PATTERN, f"{tmp_path}/ids")
+    got = {r.doc_id: r for r in rans.documents(rans.read(spark, f"{tmp_path}/ids")).collect()}
+    t, start = Tokenizer.from_file(JSON), 0
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_long_text_over_blocks(spark, tmp_path):
     d = spark.createDataFrame([(1, "word " * 50_000), (0, "x"), (2, "y z")], "doc_id long, text string")
     rans.write(d, JSON, public_tokenizers.PATTERN, f"{tmp_path}/ids")
