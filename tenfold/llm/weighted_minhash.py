@@ -1,8 +1,9 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle is five words; its weight in a text is its count times an inverse document frequency.
-Document frequencies of all texts are counted in a table of fixed size by shingle hash, so that a
-shingle's frequency is that of all shingles of its cell.  Consistent weighted sampling draws, for each
+Document frequencies are counted exactly over all texts: documents are dealt into groups, a group
+sends each distinct shingle and the number of its texts that hold it to the shingle's bucket once, and
+gets the sums back in the same order.  Consistent weighted sampling draws, for each
 of a signature's places, one shingle of a text together with a quantised weight; two texts draw the
 same with a chance of their weighted Jaccard similarity.  Texts that agree in all places of a band are
 candidates, and candidates are verified by the weighted Jaccard similarity itself.
@@ -27,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tenfold.llm import common, words
+from tenfold.llm import common, exchange, words
 from tenfold.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and the places of each: at a similarity of 0.8 all but 3 in 100,000 pairs are candidates.
 BANDS, PLACES = 20, 4
-#: Cells of the frequency table, and rows of random numbers that shingles share by hash.
+#: Cells of the estimate of frequencies, and rows of random numbers that shingles share by hash.
 CELLS, RANDOM = 1 << 18, 1 << 14
 AT_ONCE = 1 << 20
 #: Leaders of a bucket differ by band, modulo this.
@@ -74,7 +75,7 @@ def counted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of texts, and for each cell that of the texts' distinct shingles there."""
+    """The number of texts, and for each cell that of the texts' distinct shingles there: an estimate that only tests compare with."""
     chunk = CELLS // 16
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def inverse(n: int, frequency: np.ndarray) -> np.ndarray:
-    """Weight of one occurrence of a shingle of each cell: 1 + ln((1 + n) / (1 + frequency)), 1 at least."""
+    """Weight of one occurrence of a shingle of each frequency: 1 + ln((1 + n) / (1 + frequency)), 1 at least."""
     return np.maximum(1.0, 1.0 + np.log((1 + n) / (1 + frequency))).astype(np.float32)
 
 
@@ -142,56 +143,112 @@ def sampled(h: np.ndarray, weight: np.ndarray, places: int) -> np.ndarray:
     return drawn
 
 
-SIGNED = "doc_id long, node binary, bands array<bigint>"
-
-
-def signed(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, places: int = PLACES) -> DataFrame:
-    """doc_id, node (a hash of the words, null without any) and bands (a hash of each band's draws)."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = common.utf8(batch.column(1))
-            nodes, keys = [], []
-            for a, b in common.slices(off, AT_ONCE):
-                part, own = raw[off[a] : off[b]], off[a : b + 1] - off[a]
-                h, row, n = counted(*shingles(part, own))
-                weight = n.astype(np.float32) * idf[_cells(h)]
-                cut = np.searchsorted(row, np.arange(b - a + 1))
-                for i in range(b - a):
-                    p, q = cut[i], cut[i + 1]
-                    if p == q:
-                        nodes.append(None)
-                        keys.append(None)
-                        continue
-                    drawn = sampled(h[p:q], weight[p:q], bands * places).reshape(bands, places)
-                    key = np.arange(bands, dtype=np.uint64)
-                    for j in range(places):
-                        key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + drawn[:, j])
-                    nodes.append(node_of(part[own[i] : own[i + 1]].tobytes()))
-                    keys.append(key.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
-
-    return common.text_of(docs).mapInArrow(rows, SIGNED)
+SIGNED = "doc_id long, node binary, bands array<bigint>, idf binary"
+#: Low digits of a shingle's hash; those above decide its bucket.
+KEY = np.dtype([("low", "<u4"), ("high", "<u2")])
+PACKED = "b int, g int, keys binary, n binary"
+
+
+def _distinct(group: exchange.Group, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of a group in ascending order, the texts that hold each, their buckets, and their order by bucket."""
+    found = [counted(*shingles(raw, off))[0] for _, _, raw, off in group.slices(AT_ONCE)]
+    h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+    bucket = ((h >> np.uint64(44)) % np.uint64(buckets)).astype(np.int32)
+    return h, n, bucket, np.argsort(bucket, kind="stable")
+
+
+def _cuts(of: np.ndarray) -> np.ndarray:
+    """Edges of the runs of equal numbers."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(1, np.int64)
+
+
+def summed(by_group: DataFrame, buckets: int) -> DataFrame:
+    """b, g and n: for each group and bucket, of how many texts the group's shingles there are, in order of hash."""
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h, n, bucket, order = _distinct(exchange.Group(table), buckets)
+        h, n, bucket = h[order], n[order].astype("<u4"), bucket[order]
+        keys = np.zeros(len(h), KEY)
+        keys["low"], keys["high"] = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) & np.uint64(0xFFFF)
+        cut = _cuts(bucket)
+        data = [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x in (keys, n)]
+        return pa.Table.from_arrays([pa.array(bucket[cut[:-1]]), pa.array([key[0].as_py()] * (len(cut) - 1), pa.int32()), *data], names=["b", "g", "keys", "n"])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(d.as_buffer(), KEY) for d in table["keys"]])
+        n = np.concatenate([np.frombuffer(d.as_buffer(), "<u4") for d in table["n"]])
+        sizes = [len(d.as_buffer()) // KEY.itemsize for d in table["keys"]]
+        k = keys["low"].astype(np.uint64) | keys["high"].astype(np.uint64) << np.uint64(32)
+        order = np.argsort(k, kind="stable")
+        cut = _cuts(k[order])
+        total = np.empty(len(k), "<u4")
+        total[order] = np.repeat(np.add.reduceat(n[order], cut[:-1], dtype=np.int64), np.diff(cut))
+        edge = np.cumsum([0, *sizes])
+        data = pa.array([total[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())
+        return pa.Table.from_arrays([table["b"], table["g"], data], names=["b", "g", "n"])
+
+    return by_group.groupBy("g").applyInArrow(gather, PACKED).groupBy("b").applyInArrow(add, "b int, g int, n binary")
+
+
+def signed(docs: DataFrame, bands: int = BANDS, places: int = PLACES) -> DataFrame:
+    """doc_id, node (a hash of the words, null without any), bands (a hash of each band's draws) and idf (that of each distinct shingle, in order of hash)."""
+    n_texts = docs.count()
+    groups, buckets = common.parts_for(docs, exchange.GROUP), common.parts_for(docs, exchange.BUCKET)
+    by_group = common.text_of(docs).withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+
+    def rows(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
+        group = exchange.Group(table)
+        distinct, _, _, order = _distinct(group, buckets)
+        idf = np.empty(len(distinct), np.float32)
+        idf[order] = inverse(n_texts, np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(d.as_buffer(), "<u4") for d in found.sort_by("b")["n"])]).astype(np.int64))
+        nodes, keys, weights = [], [], []
+        for a, b, part, own in group.slices(AT_ONCE):
+            h, row, n = counted(*shingles(part, own))
+            own_idf = idf[np.searchsorted(distinct, h)]
+            weight = n.astype(np.float32) * own_idf
+            cut = np.searchsorted(row, np.arange(b - a + 1))
+            for i in range(b - a):
+                p, q = cut[i], cut[i + 1]
+                if p == q:
+                    nodes.append(None)
+                    keys.append(None)
+                    weights.append(None)
+                    continue
+                drawn = sampled(h[p:q], weight[p:q], bands * places).reshape(bands, places)
+                k = np.arange(bands, dtype=np.uint64)
+                for j in range(places):
+                    k = common.mix(k * np.uint64(0x9E3779B97F4A7C15) + drawn[:, j])
+                nodes.append(node_of(part[own[i] : own[i + 1]].tobytes()))
+                keys.append(k.astype(np.int64))
+                weights.append(own_idf[p:q].astype("<f4").tobytes())
+        return pa.Table.from_arrays([group.table["doc_id"], pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(weights, pa.binary())], names=["doc_id", "node", "bands", "idf"])
+
+    return by_group.groupBy("g").cogroup(summed(by_group, buckets).groupBy("g")).applyInArrow(rows, SIGNED)
+
+
+def _idf(column: pa.Array) -> np.ndarray:
+    """The packed weights of all rows."""
+    return np.frombuffer(common.utf8(column)[0].tobytes(), "<f4").astype(np.float64)
 
 
 def node_of(text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(text.split()))
 
 
-def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """The weighted Jaccard similarity of each two texts."""
+def similarities(a: pa.Array, b: pa.Array, idf_a: pa.Array, idf_b: pa.Array) -> np.ndarray:
+    """The weighted Jaccard similarity of each two texts; `idf_a` and `idf_b` as in `signed`."""
     out = []
     (raw_a, off_a), (raw_b, off_b) = common.utf8(a), common.utf8(b)
     for lo, hi in common.slices(off_a + off_b, AT_ONCE):
         n = hi - lo
         parts = [shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for raw, off in ((raw_a, off_a), (raw_b, off_b))]
         h, row, count = counted(np.concatenate([p[0] for p in parts]), np.concatenate([parts[0][1], parts[1][1] + n]))
+        weight = np.concatenate([_idf(x.slice(lo, n)) for x in (idf_a, idf_b)])
         pair = row % n
         order = np.lexsort([row, h, pair])
-        h, pair, count = h[order], pair[order], count[order]
+        h, pair, count, weight = h[order], pair[order], count[order], weight[order]
         same = np.zeros(len(h), bool)
         same[1:] = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
-        weight = idf[_cells(h)].astype(np.float64)
         both = np.where(same, np.minimum(count, np.append(0, count[:-1])), 0)
         shared = np.bincount(pair, weight * both, n)
         total = np.bincount(pair, weight * count, n)
@@ -199,21 +256,21 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
-    """u, v of pairs (u, v) whose texts (node, text) are similar."""
+def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """u, v of pairs (u, v) whose texts (node, text, idf) are similar."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(similarities(batch.column(2), batch.column(3), idf) >= least - 1e-9)
+            keep = pa.array(similarities(*(batch.column(i) for i in (2, 3, 4, 5))) >= least - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["u", "v"])
 
-    one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    two = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    return two.select("u", "v", "a", "b").mapInArrow(rows, "u binary, v binary")
+    one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a"), F.col("idf").alias("idf_a")), "u")
+    two = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b"), F.col("idf").alias("idf_b")), "v")
+    return two.select("u", "v", "a", "b", "idf_a", "idf_b").mapInArrow(rows, "u binary, v binary")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and text, one for each of the wanted nodes (node, doc_id)."""
+def _texts(docs: DataFrame, wanted: DataFrame, signs: DataFrame) -> DataFrame:
+    """node, text and idf, one for each of the wanted nodes (node, doc_id)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +280,10 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     one = common.text_of(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     found = one.mapInArrow(rows, "node binary, text string")
-    return common.written(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "minhash-texts")
+    found = found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    # texts of the same words have the same shingles, so any row's weights are the node's
+    idf = signs.select("node", "idf").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return common.written(found.join(idf, "node"), "minhash-texts")
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -234,7 +294,7 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return common.written(placed.join(mixed, ["band", "key"]), "minhash-inside")
 
 
-def prefixes(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
+def prefixes(nodes: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     """node, shingle, after, total: of each node the shingles that fewest of the nodes have, until what is left weighs less than `least` of it.
 
     `total` is the node's weight, `after` that of the shingle and those after it; shingles of one node alone are left out.
@@ -245,11 +305,11 @@ def prefixes(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float =
             raw, off = common.utf8(batch.column(1))
             for a, b in common.slices(off, AT_ONCE):
                 h, row, n = counted(*shingles(raw[off[a] : off[b]], off[a : b + 1] - off[a]))
-                weight = n * idf[_cells(h)].astype(np.float64)
+                weight = n * _idf(batch.column(2).slice(a, b - a))
                 total = np.bincount(row, weight, b - a)[row]
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), batch.column(0).take(pa.array(row + a)), pa.array(weight.astype(np.float32)), pa.array(total.astype(np.float32))], names=["shingle", "node", "weight", "total"])
 
-    found = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(rows, "shingle long, node binary, weight float, total float")
+    found = texts.join(nodes, "node", "left_semi").select("node", "text", "idf").mapInArrow(rows, "shingle long, node binary, weight float, total float")
     found = common.written(found, "minhash-shingles")
     holders = common.written(found.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-holders")
     # a shingle that one node alone has joins nothing, but counts for what stands before the others
@@ -267,10 +327,7 @@ def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, places:
     texts without words (null ones too) join no class: their class_id is their doc_id, their node
     null.  Rows that repeat a doc_id and text are rows of the same class.
     """
-    spark = docs.sparkSession
-    n, frequency = frequencies(docs)
-    idf = inverse(n, frequency)
-    rows = common.written(signed(docs, idf, bands, places), "minhash-signed")
+    rows = common.written(signed(docs, bands, places), "minhash-signed")
     nodes = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = common.written(nodes, "minhash-nodes")
 
@@ -281,22 +338,22 @@ def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, places:
     members = common.written(entries.join(common.written(several, "minhash-buckets"), ["band", "key"]), "minhash-members")
     pair = [F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")]
     pairs = common.written(members.filter("node <> leader").select(*pair).distinct(), "minhash-pairs")
-    texts = _texts(docs, nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id"))
-    links = common.written(verified(pairs, texts, idf, least), "minhash-links")
+    texts = _texts(docs, nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), rows)
+    links = common.written(verified(pairs, texts, least), "minhash-links")
     joined = common.written(components(links), "minhash-components")
 
     # buckets that hold several components: their nodes meet those of other components by prefix
     placed = members.select("band", "key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     inside = _mixed(common.written(placed, "minhash-placed"))
     nodes_inside = common.written(inside.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside")), "minhash-nodes-inside")
-    prefix = common.written(prefixes(nodes_inside.select("node"), texts, idf, least).join(nodes_inside, "node"), "minhash-prefixes")
+    prefix = common.written(prefixes(nodes_inside.select("node"), texts, least).join(nodes_inside, "node"), "minhash-prefixes")
     one = prefix.filter("outside").select("shingle", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("after").alias("xa"), F.col("total").alias("xt"))
     other = prefix.select("shingle", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("outside").alias("yo"), F.col("after").alias("ya"), F.col("total").alias("yt"))
     # what two texts share from their first common shingle on is no more than either has from there
     enough = F.least("xa", "ya") >= (F.col("xt") + F.col("yt")) * (least / (1 + least) - SLACK)
     across = one.join(other, "shingle").filter(F.expr("xc <> yc AND (NOT yo OR x < y)") & enough)
     across = across.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    more = common.written(verified(across, texts, idf, least), "minhash-links")
+    more = common.written(verified(across, texts, least), "minhash-links")
     if not more.isEmpty():
         joined = common.written(components(links.unionByName(more)), "minhash-components")
 

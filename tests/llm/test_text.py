@@ -243,6 +243,18 @@ def test_near_duplicates(table, empty):
     assert weighted_minhash.classes(empty).count() == 0
 
 
+def test_weights_are_of_exact_frequencies(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 150)) for _ in range(300)]
+    texts += [texts[0], texts[0], texts[1] + " more", "", "a b", None]
+    own = [sorted(set(weighted_minhash.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist())) if t else [] for t in texts]
+    n = Counter(h for x in own for h in x)
+    got = {r.doc_id: r.idf for r in weighted_minhash.signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, x in enumerate(own):
+        want = [1 + np.log((1 + len(texts)) / (1 + n[h])) for h in x]
+        assert (got[i] is None and not x) or np.allclose(np.frombuffer(got[i], "<f4"), want, rtol=1e-6)
+
+
 def test_one_of_each_class_stays(table):
     kept = weighted_minhash.keep(clashing(table))
     assert kept.columns == clashing(table).columns
