@@ -17,8 +17,9 @@ from tenfold.llm import common
 
 #: Rows in a block of the index and queries that meet it in one task.
 ROWS, QUERIES_AT_ONCE = 32768, 2048
-#: Components beyond this have no inner product that a long is sure to hold.
-LARGEST = 1 << 24
+#: Quantised components from this on are no longs, as scores must be.
+LARGEST = float(1 << 63)
+LONG = 1 << 63
 
 
 class BitSlicedBlock:
@@ -31,10 +32,12 @@ class BitSlicedBlock:
         self.bias = 1 << top.bit_length()
         self.width = top.bit_length() + 1
         self.words = max(1, -(-n // 64))
-        biased = (values + self.bias).astype(np.uint32)
+        kind = np.uint32 if self.width <= 32 else np.uint64
+        biased = (values.astype(np.uint64) + np.uint64(self.bias)).astype(kind)
+        self.largest = top
         plain = np.zeros((self.dims, self.width, self.words * 8), np.uint8)
         for bit in range(self.width):
-            packed = np.packbits(((biased >> np.uint32(bit)) & np.uint32(1)).astype(np.uint8), axis=0, bitorder="little")
+            packed = np.packbits(((biased >> kind(bit)) & kind(1)).astype(np.uint8), axis=0, bitorder="little")
             plain[:, bit, : packed.shape[0]] = packed.T
         plain = plain.reshape(self.dims * self.width, -1).view(np.uint64)
         self.slices = np.concatenate([plain, ~plain])
@@ -90,7 +93,15 @@ class BitSlicedBlock:
         chosen = self._rows(sure)
         if len(chosen) < k:
             chosen = np.concatenate([chosen, self._rows(open_rows, k - len(chosen))])
-        return self.ids[chosen], self.values[chosen] @ query
+        return self.ids[chosen], self._scores(chosen, query)
+
+    def _scores(self, chosen: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products, as Python's integers where a long might not hold them."""
+        if self.largest * sum(abs(int(x)) for x in query) < LONG:
+            return self.values[chosen] @ query
+        out = np.empty(len(chosen), object)
+        out[:] = [sum(int(a) * int(b) for a, b in zip(row, query)) for row in self.values[chosen]]
+        return out
 
     @staticmethod
     def _rows(bitmap: np.ndarray, most: int | None = None) -> np.ndarray:
@@ -111,12 +122,13 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return out
 
 
-RESULT = "query_id long, vec_id long, score long"
+#: `over`: -1 or 1 where the score is below or above all longs; `score` is then the least or greatest.
+RESULT = "query_id long, vec_id long, score long, over int"
 
 
 def _search(k: int):
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         if queries.num_rows and rows.num_rows:
             dims = max(max(t["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max() for t in (queries, rows)), 1)
             ids = rows["vec_id"].to_numpy()
@@ -124,9 +136,14 @@ def _search(k: int):
             index = BitSlicedBlock(ids[order], _matrix(rows["v"], dims)[order])
             for own, query in zip(queries["vec_id"].to_numpy(), _matrix(queries["v"], dims)):
                 near, score = index.top(query, own, k)
-                found.append((np.full(len(near), own), near, score))
-        parts = [np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, parts))))
+                over = np.zeros(len(near), np.int64)
+                if score.dtype == object:
+                    over = np.array([int(s >= LONG) - int(s < -LONG) for s in score], np.int64)
+                    score = np.array([max(-LONG, min(LONG - 1, s)) for s in score], np.int64)
+                found.append((np.full(len(near), own), near, score, over))
+        parts = [np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(4)]
+        parts[3] = parts[3].astype(np.int32)
+        return pa.table(dict(zip(("query_id", "vec_id", "score", "over"), map(pa.array, parts))))
 
     return search
 
@@ -134,8 +151,8 @@ def _search(k: int):
 def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id and v, the components as floor(256 * x).
 
-    Rows take no part whose vec_id or vector is null, or that hold a null, non-finite or (in a
-    long's inner product not safe) larger than 2**24 component.
+    Rows take no part whose vec_id or vector is null, or that hold a null or non-finite component
+    or one that is no long once quantised (2**55 or more).
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * 256) < LARGEST)
@@ -151,7 +168,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, rows: int = ROWS, que
 
     `vectors` has vec_id and embedding; a row is a query if its vec_id is divisible by `every`.
     Shorter vectors count as filled with zeros.  Rows that repeat a query's vec_id count as its own;
-    a query given twice is answered once.  No rows in, no rows out.
+    a query given twice is answered once.  No rows in, no rows out.  Sums are exact at any width; if
+    one of the k best scores is no long, the query fails, as its SQL does.
     Blocks of rows meet blocks of queries in tasks of bounded size; each returns k rows a query.
     """
     q = quantised(vectors)
@@ -162,8 +180,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, rows: int = ROWS, que
     index = q.withColumn("rb", block(row_blocks)).withColumn("qb", each(query_blocks))
     asked = q.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumn("qb", block(query_blocks)).withColumn("rb", each(row_blocks))
     found = asked.groupBy("qb", "rb").cogroup(index.groupBy("qb", "rb")).applyInArrow(_search(k), RESULT)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.desc("over"), F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score is no long")).cast("long")).alias("score"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

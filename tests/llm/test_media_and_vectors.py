@@ -63,6 +63,27 @@ def test_search_extremes():
         assert sorted(score.tolist()) == sorted((v @ q).tolist())[-7:]
 
 
+def test_search_of_large_components(spark):
+    x = [[0.5, -0.25], [70_000.0, 1.0], [-3e9, 2e9], [1e13, 0.0], [0.5, 0.5], [65_536.0, -65_536.0]]
+    v = [[int(np.floor(256 * c)) for c in e] for e in x]
+    frame = spark.createDataFrame([(i, e, 0) for i, e in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = sorted((-sum(a * b for a, b in zip(v[0], v[i])), i) for i in range(1, 6))
+    assert rows(bitsliced.top_k(frame), "query_id", "rank", "vec_id", "score") == [(0, n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    below = spark.createDataFrame([(0, [-1e13], 0), (1, [1e13], 0), (2, [0.5], 0), (3, [-1.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert [r[2] for r in rows(bitsliced.top_k(below, k=2), "query_id", "rank", "vec_id", "score")] == [3, 2]
+    with pytest.raises(Exception, match="no long"):
+        bitsliced.top_k(below, k=3).collect()
+
+
+def test_search_is_exact_at_any_width():
+    rng = np.random.default_rng(4)
+    v = rng.integers(-(1 << 62), 1 << 62, (70, 3))
+    index = bitsliced.BitSlicedBlock(np.arange(70), v)
+    for q in v[:5]:
+        _, score = index.top(q, -1, 7)
+        assert sorted(score.tolist()) == sorted(sum(int(a) * int(b) for a, b in zip(row, q)) for row in v)[-7:]
+
+
 @pytest.mark.parametrize("name", list(catalogue.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     check(spark, SF, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name])
