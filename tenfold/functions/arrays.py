@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,25 @@ def uniform_run(centres: Column, tolerance: float = 0.25) -> Column:
     return F.when((n >= 3) & best.isNotNull(), F.slice(centres, best["i"] + 1, -best["k"])).otherwise(F.slice(centres, 1, 0))
 
 
+def longest_uniform(x: list, tolerance: float = 0.25) -> list:
+    """`uniform_run` of a long list: a start is left as soon as its gaps are too far apart for any median, or too few are left."""
+    gaps_ = [b - a for a, b in zip(x, x[1:])]
+    start, most = 0, 1
+    for i in range(len(gaps_)):
+        if len(gaps_) - i <= most:
+            break
+        held: list = []
+        for j in range(i, len(gaps_)):
+            insort(held, gaps_[j])
+            low, high, n = held[0], held[-1], len(held)
+            if low <= 0 or low * (1 + tolerance) < high * (1 - tolerance) * (1 - 1e-9):
+                break
+            m = (held[(n - 1) // 2] + held[n // 2]) / 2
+            if n > most and m - low <= tolerance * m and high - m <= tolerance * m:
+                start, most = i, n
+    return x[start : start + most + 1] if most > 1 else []
+
+
 def overlap(box: Column, other: Column) -> Column:
     """Share of a box (x, y, w, h) that another covers, 0 if it has no area."""
     side = lambda a, n: F.greatest(F.lit(0), F.least(box[a] + box[n], other[a] + other[n]) - F.greatest(box[a], other[a]))

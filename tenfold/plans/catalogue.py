@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenfold.functions import throws as T
-from tenfold.functions.arrays import uniform_run
+from tenfold.functions.arrays import longest_uniform, uniform_run
 from tenfold.operators import calibrate, fusion, geometry, matching, report, scoring
 from tenfold.sources import derived
 from tenfold.sources.derived import KEYS, table
@@ -391,6 +394,19 @@ def uniform_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("o_custkey", F.array_join(uniform_run(F.col("x")).cast("array<string>"), ",").alias("run"))
 
 
+@query(None)
+def uniform_runs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest evenly spaced run among all of each customer's order keys; the SQL of uniform_runs tries all spans of ten, so no SQL is given."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [",".join(map(str, longest_uniform(x))) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.string())], names=["o_custkey", "run"])
+
+    c = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("x"))
+    return c.mapInArrow(rows, c.select("o_custkey", F.lit("").alias("run")).schema)
+
+
 @query("""WITH c AS (SELECT p.id AS p, f.id AS f FROM range(4) p(id), range(1, 11) f(id)), n AS (SELECT n_nationkey AS board, n_nationkey % 7 AS dx FROM nation),
 a AS (SELECT board, 'p' || p || '.f' || f || '.throws' AS key, 'throws' AS role, p AS player, f AS frame, f * 100 + dx AS x, p * 120 + 40 AS y, 100 AS w, 60 AS h FROM c, n
  UNION ALL SELECT board, 'p' || p || '.f' || f || '.score', 'score', p, f, f * 100 + dx, p * 120 + 100, 100, 60 FROM c, n

@@ -1,11 +1,17 @@
+import random
+import statistics
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tenfold.functions.arrays import uniform_run
+from tenfold.functions.arrays import longest_uniform, uniform_run
 from tenfold.operators import calibrate, geometry, matching, report
+from tenfold.plans import catalogue
 from tenfold.sources import frames
+from tests.conftest import SF
 
 
 def test_nearest_equals_numpy(spark):
@@ -73,6 +79,37 @@ def test_uniform_run(spark, x, want):
     assert d.select(uniform_run(F.col("x")).alias("r")).first().r == want
 
 
+def spans(x, tolerance=0.25):
+    """All spans of three or more, the longest and first of those that are even."""
+    for k in range(len(x), 2, -1):
+        for i in range(len(x) - k + 1):
+            g = [b - a for a, b in zip(x[i : i + k], x[i + 1 : i + k])]
+            m = statistics.median(g)
+            if m > 0 and all(abs(v - m) <= tolerance * m for v in g):
+                return x[i : i + k]
+    return []
+
+
+def test_longest_uniform():
+    rnd = random.Random(5)
+    for n in (0, 1, 2, 3, 5, 12, 40):
+        for wide in (1, 4, 9):
+            for _ in range(20):
+                x = sorted(rnd.randrange(1, 1 + wide * max(1, n)) + 5 * i for i in range(n))
+                assert longest_uniform(x) == spans(x)
+    assert len(longest_uniform(list(range(0, 50_000, 5)))) == 10_000
+
+
+def test_uniform_runs_of_all_orders(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    keys = defaultdict(list)
+    for r in orders:
+        keys[r.o_custkey].append(r.o_orderkey)
+    assert max(map(len, keys.values())) > 10
+    got = {r.o_custkey: r.run for r in catalogue.uniform_runs_whole(spark, SF).collect()}
+    assert got == {c: ",".join(map(str, spans(sorted(x)))) for c, x in keys.items()}
+
+
 def test_anti_join(spark):
     box = "box struct<x:int,y:int,w:int,h:int>"
     cells = spark.createDataFrame([(1, (0, 0, 10, 10)), (1, (100, 0, 10, 10)), (2, (0, 0, 10, 10)), (1, (0, 0, 0, 0))], f"frame_index int, {box}")
