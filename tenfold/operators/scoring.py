@@ -93,12 +93,21 @@ def players(frames: DataFrame, keys: list[str], repair: bool = True, strict_bonu
     return p.withColumn("agreement", throws.agreement(F.col("checked"), F.size("mismatched_frames")))
 
 
-def scaffold(readings: DataFrame, players: int = 4) -> DataFrame:
-    """player, frame, throws and score of every cell of a board from readings (key, text); a missing one is blank."""
+def scaffold(readings: DataFrame, players: int = 4, board: list[str] | None = None) -> DataFrame:
+    """player, frame, throws and score of every cell of a board from readings (key, text); a missing one is blank.
+
+    With the key columns `board`, of every board that has a reading.
+    """
+    board = board or []
     spark = readings.sparkSession
     grid = spark.range(players).select(F.col("id").cast("int").alias("player"), F.explode(F.sequence(F.lit(1), F.lit(throws.FRAMES))).alias("frame"))
     key = lambda what: F.format_string(f"p%d.f%d.{what}", "player", "frame")
+    if board:
+        grid = readings.select(*board).distinct().crossJoin(F.broadcast(grid))
     for what in ("throws", "score"):
-        r = readings.select(F.col("key").alias(f"_{what}"), F.col("text").alias(what))
-        grid = grid.join(r, key(what) == F.col(f"_{what}"), "left").drop(f"_{what}").withColumn(what, F.coalesce(what, F.lit("")))
+        r = readings.select(F.col("key").alias(f"_{what}"), F.col("text").alias(what), *(F.col(k).alias(f"_{k}") for k in board))
+        on = key(what) == F.col(f"_{what}")
+        for k in board:
+            on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        grid = grid.join(r, on, "left").drop(f"_{what}", *(f"_{k}" for k in board)).withColumn(what, F.coalesce(what, F.lit("")))
     return grid

@@ -235,6 +235,15 @@ def scaffold_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scaffold(g.select(F.format_string("p%d.f%d.throws", "user_id", "frame").alias("key"), "text"))
 
 
+@query(f"""WITH {GAMES}, c AS (SELECT DISTINCT user_id // 4 AS board, game FROM g), s AS (SELECT c.*, p.id::INT AS player, f.id::INT AS frame FROM c, range(4) p(id), range(1, 11) f(id))
+SELECT s.board, s.game, player, s.frame, coalesce(text, '') AS throws, '' AS score FROM s LEFT JOIN g ON g.user_id // 4 = s.board AND g.user_id % 4 = player AND g.game = s.game AND g.frame = s.frame""")
+def scaffold_all_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings on the grids of all cells: a board for each game of four users."""
+    g = _throws(spark, sf_dir).withColumn("board", F.floor(F.col("user_id") / 4).cast("long"))
+    readings = g.select("board", "game", F.format_string("p%d.f%d.throws", F.col("user_id") % 4, "frame").alias("key"), "text")
+    return scoring.scaffold(readings, board=["board", "game"])
+
+
 OBSERVED = """o AS (SELECT user_id AS key, floor(epoch(ts) / 3600)::BIGINT AS frame_index, event_type AS text, (event_id % 100) / 100.0::DOUBLE AS confidence, event_id AS pos FROM events)"""
 
 

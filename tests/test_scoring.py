@@ -84,3 +84,10 @@ def test_scaffold(spark):
     r = scoring.scaffold(spark.createDataFrame([("p0.f1.throws", "X"), ("p3.f10.score", "99")], "key string, text string")).collect()
     assert len(r) == 40
     assert {(x.player, x.frame, x.throws, x.score) for x in r if x.throws or x.score} == {(0, 1, "X", ""), (3, 10, "", "99")}
+
+
+def test_scaffold_of_several_boards(spark):
+    readings = [(0, "p0.f1.throws", "X"), (5, "p0.f1.throws", "9/"), (5, "p3.f10.score", "99"), (None, "p1.f2.throws", "-")]
+    r = scoring.scaffold(spark.createDataFrame(readings, "board int, key string, text string"), board=["board"]).collect()
+    assert len(r) == 120
+    assert {(x.board, x.player, x.frame, x.throws, x.score) for x in r if x.throws or x.score} == {(0, 0, 1, "X", ""), (5, 0, 1, "9/", ""), (5, 3, 10, "", "99"), (None, 1, 2, "-", "")}
