@@ -1,11 +1,10 @@
-"""Repeated runs of words by fixed-block anchors.
-
-A run of 13 words that stands in two documents holds, wherever it starts, one whole block of the
-seven-word blocks that tile the other document.  So every document's non-overlapping blocks are
-indexed, and every rolling window of seven words of the others probes them.  A block that was hit is
-extended, word by word, to all windows of 13 words around it whose rolling windows are shared too.
-These are then compared by a 96-bit hash of their words, and overlapping ones make up the maximal
-repeats.
+"""Repeated runs of words by anchors of a fixed length.
+
+A run of 13 words that stands in two documents holds seven windows of seven words that stand in both.
+So the rolling windows of seven words of all documents are compared first, and those that stand in
+more than one text are the anchors.  Windows of 13 words are kept only if all windows of seven words
+within are anchors.  These are then compared by a 96-bit hash of their words, and overlapping ones
+make up the maximal repeats.
 """
 
 from __future__ import annotations
