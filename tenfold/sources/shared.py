@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one only where none is set."""
+    """A new folder below spark.checkpoint.dir; where none is set, below a temporary one in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tenfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tenfold/{what}-{uuid.uuid4().hex}"
