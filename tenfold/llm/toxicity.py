@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words enter as symbols: insult, threat, target, negation, report or other.  Letter-to-letter
-transducers mark them in turn: one marks insults and threats that follow a negation closely, one
-those that follow reported speech in their clause, one those that follow a target.  Their composition
-is one deterministic machine; it reads a clause and puts out matched symbols such as "insult, targeted,
-not negated, not reported".  A text's score is logistic in the weighted matches of its clauses, never
-in isolated words outside a matched clause.
+transducers mark insults and threats in turn: those that follow a negation closely, those that follow
+reported speech or a mention ("the word ...") in their clause, those that follow a target, and, read
+from the clause's end, those that stand closely before one.  The first three are composed into one
+deterministic machine; with the last, a clause puts out matched symbols such as "insult, targeted, not
+negated, not reported".  A text's score is logistic in the weighted matches of its clauses.  An insult
+in a clause without a target is a match of its own kind, by itself too weak for a verdict; only
+labelled rows can give it more weight.
 
 The insult lexicon beyond a few fixed words, and all weights, are learnt from a bounded sample of
 labelled rows.  Lexicon entries are whole words or beginnings of words, so inflected forms that were
@@ -14,6 +16,7 @@ never labelled match too.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -34,8 +37,10 @@ SAMPLE = 20_000
 THRESHOLD = 0.3
 #: Letters of learnt beginnings of words, texts that must hold one, and its least log odds.
 SHORTEST, LONGEST, LEAST_TEXTS, LEAST_ODDS = 3, 10, 3, 3.0
-#: Learnt entries at most: the documented bound of the lexicon.
-ENTRIES = 5_000
+#: A longer word can't be an entry as a whole; its beginnings can.
+WHOLE = 64
+#: Bytes of text that are Python strings at once, but for a longer single text.
+AT_ONCE = 1 << 20
 
 WORD = re.compile(r"\w+(?:['’]\w+)*")
 CLAUSE = re.compile(r"[^.!?;\n]+")
@@ -46,7 +51,7 @@ FIXED = {
     THREAT: "kill hurt destroy murder strangle töten umbringen vernichten tuer détruire matar destruir".split(),
     TARGET: "you your you're ur he she they them dich dein ihr euch tu toi vous ton tú vosotros usted ustedes".split(),
     NEGATION: "not never no isn't aren't don't won't nicht kein keine nie pas jamais nunca jamás".split(),
-    REPORT: "said says wrote writes called claimed quoted reported sagte schrieb dit écrit dijo escribió".split(),
+    REPORT: "said says wrote writes called claimed quoted reported word term sagte schrieb wort dit écrit mot dijo escribió palabra".split(),
 }
 
 
@@ -79,7 +84,7 @@ class Transducer(NamedTuple):
                 own[s] = (names[to], out)
                 outs.append(out)
             arcs.append(own)
-        return arcs, sorted({o for o in outs if isinstance(o, tuple) and o[0] in (INSULT, THREAT)})
+        return arcs, sorted(set(outs))
 
 
 def _marker(trigger: str, mark: str, reach: int | None) -> Transducer:
@@ -87,7 +92,7 @@ def _marker(trigger: str, mark: str, reach: int | None) -> Transducer:
 
     def step(left, symbol):
         kind = symbol[0]
-        if kind in (INSULT, THREAT) and left:
+        if kind in (INSULT, THREAT) and left and mark not in symbol:
             symbol = (*symbol, mark)
         left = reach or 1 if kind == trigger else max(0, left - 1) if reach else left
         return left, symbol
@@ -96,7 +101,10 @@ def _marker(trigger: str, mark: str, reach: int | None) -> Transducer:
 
 
 SYMBOLS = [(k,) for k in (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER)]
-ARCS, MATCHES = _marker(NEGATION, "negated", 3).then(_marker(REPORT, "reported", None)).then(_marker(TARGET, "targeted", None)).compiled(SYMBOLS)
+ARCS, _MARKED = _marker(NEGATION, "negated", 3).then(_marker(REPORT, "reported", None)).then(_marker(TARGET, "targeted", None)).compiled(SYMBOLS)
+#: Reads what the first machine puts out, from a clause's end to its start.
+BACK, _BOTH = _marker(TARGET, "targeted", 3).compiled(_MARKED)
+MATCHES = [m for m in _BOTH if m[0] in (INSULT, THREAT)]
 _INDEX = {m: i for i, m in enumerate(MATCHES)}
 
 
@@ -144,14 +152,18 @@ class Lexicon:
                 continue
             begin = max(text.rfind(c, 0, at) for c in ".!?;\n") + 1
             ends = CLAUSE.search(text, at).end()
-            state = 0
+            state, marked = 0, []
             for w in WORD.finditer(text, begin, ends):
                 # after an apostrophe a word may have more hits
-                own = [hits[i] for i in range(w.start(), w.end()) if i in hits] or [(self.function.get(w[0], (OTHER,)), 0.0)]
+                own = [hits[i] for i in range(w.start(), w.end()) if i in hits] or [(self.function.get(w[0].replace("’", "'"), (OTHER,)), 0.0)]
                 for symbol, weight in own:
                     state, put = ARCS[state][symbol]
-                    if put in _INDEX and weight:
-                        out[_INDEX[put]] += weight
+                    marked.append((put, weight))
+            state = 0
+            for symbol, weight in reversed(marked):
+                state, put = BACK[state][symbol]
+                if weight and put in _INDEX:
+                    out[_INDEX[put]] += weight
         return out
 
 
@@ -176,28 +188,35 @@ def _grams(text: str) -> set[str]:
     out = set()
     for w in set(WORD.findall(text.lower())):
         out.update(w[:n] for n in range(SHORTEST, min(LONGEST, len(w)) + 1))
-        out.add(w[:64] + "$")
+        if len(w) <= WHOLE:
+            out.add(w + "$")
     return out
 
 
+def _strings(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts (null: empty) of runs of rows of bounded bytes."""
+    for a, b in common.slices(common.utf8(column)[1], AT_ONCE):
+        yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
 def _counted(texts: DataFrame, wanted: set[str] | None) -> DataFrame:
     """gram and the texts that hold it, each partition's counted first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                n.update(g for g in _grams(t or "") if wanted is None or g in wanted)
+            for _, texts_ in _strings(batch.column(0)):
+                for t in texts_:
+                    n.update(g for g in _grams(t) if wanted is None or g in wanted)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["gram", "n"])
 
     return texts.select("text").mapInArrow(rows, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _good(toxic: dict[str, int], other: dict[str, int], n_toxic: int, n_other: int) -> dict[str, float]:
-    """Grams of high odds, at most ENTRIES."""
+    """Grams of high odds."""
     odds = {g: math.log((t + 0.5) / (n_toxic + 1)) - math.log((other.get(g, 0) + 0.5) / (n_other + 1)) for g, t in toxic.items()}
-    good = sorted((g for g, x in odds.items() if x >= LEAST_ODDS), key=lambda g: (-odds[g], -toxic[g], g))
-    return {g: odds[g] for g in good[:ENTRIES]}
+    return {g: x for g, x in odds.items() if x >= LEAST_ODDS}
 
 
 def _entries(texts: list[set[str]], odds: dict[str, float]) -> dict[str, float]:
@@ -211,8 +230,15 @@ def _entries(texts: list[set[str]], odds: dict[str, float]) -> dict[str, float]:
         for g in t:
             holders[g].append(i)
     left, out = set(range(len(texts))), {}
-    while gain:
-        g = max(gain, key=lambda g: (gain[g], len(g), g))
+    ranked = sorted(gain, key=lambda g: (len(g), g), reverse=True)
+    todo = [(-gain[g], i) for i, g in enumerate(ranked)]  # gains only fall, so an entry of the heap is at best what it says
+    heapq.heapify(todo)
+    while todo:
+        was, i = heapq.heappop(todo)
+        g = ranked[i]
+        if gain[g] != -was:
+            heapq.heappush(todo, (-gain[g], i))
+            continue
         if gain[g] < max(2, len(texts) // 500):
             break
         if g[-1] == "$":
@@ -239,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     least = max(LEAST_TEXTS, n_toxic // 400)
-    seen = _counted(texts.filter("toxic = 1"), None).filter(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(40 * ENTRIES)
+    seen = _counted(texts.filter("toxic = 1"), None).filter(F.col("n") >= least)
     toxic = {r.gram: r.n for r in seen.collect()}
     wanted = set(toxic)
     other = {r.gram: r.n for r in _counted(texts.filter("toxic = 0"), wanted).collect()} if toxic else {}
@@ -248,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [sorted(_grams(t or "") & good) for t in batch.column(0).to_pylist()]
+            x = [sorted(_grams(t) & good) for _, texts_ in _strings(batch.column(0)) for t in texts_]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.string()))], names=["grams"])
 
     explained = texts.filter("toxic = 1").select("text").distinct().mapInArrow(holds, "grams array<string>")
@@ -256,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [lexicon.matches(t or "").tolist() for t in batch.column(0).to_pylist()]
+            x = [lexicon.matches(t).tolist() for _, texts_ in _strings(batch.column(0)) for t in texts_]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
     found = texts.select("text", F.col("toxic").cast("int")).mapInArrow(features, "y int, x array<double>")
@@ -267,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def _regression(rows: list) -> tuple[np.ndarray, float]:
     """Logistic weights, kept from falling below a small positive one so that no match lowers a score."""
     k = len(MATCHES)
-    prior = np.array([0.8 if {"negated", "reported"} & set(m) else 2.5 for m in MATCHES])
+    prior = np.array([0.4 if {"negated", "reported"} & set(m) else 2.5 if "targeted" in m else 1.0 for m in MATCHES])
     w, bias = prior.copy(), -2.5
     if rows:
         y = np.array([float(r.y) for r in rows])
@@ -292,19 +318,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [model.score(t) for t in batch.column(1).to_pylist()]
+            x = [model.score(t) for _, texts in _strings(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64()), pa.array([int(s >= THRESHOLD) for s in x], pa.int32())], names=["doc_id", "score", "predicted"])
 
     return common.text_of(docs).mapInArrow(rows, "doc_id long, score double, predicted int")
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs` that are not predicted toxic, all columns as they are."""
+    """The rows of `docs` that are not predicted toxic, all columns as they are; null and empty texts match nothing, so all or none of them stay."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array([model.score(t) < THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
+            text = batch.column(batch.schema.get_field_index("text"))
+            for a, texts in _strings(text):
+                yield batch.slice(a, len(texts)).filter(pa.array([model.score(t) < THRESHOLD for t in texts], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
 
