@@ -1,25 +1,30 @@
-"""Repeated runs of words by anchors of a fixed length.
+"""Repeated runs of words by anchors: blocks of a fixed length.
 
-A run of 13 words that stands in two documents holds seven windows of seven words that stand in both.
-So the rolling windows of seven words of all documents are compared first, and those that stand in
-more than one text are the anchors.  Windows of 13 words are kept only if all windows of seven words
-within are anchors.  These are then compared by a 96-bit hash of their words, and overlapping ones
-make up the maximal repeats.
+Each text is cut into blocks of seven words that do not overlap; these, and only these, are the index:
+any 13 words in a row hold a whole block of their text.  Every window of seven words of every text
+probes it.  A window that equals some text's block is a hit, for the text that probes and for the one
+whose block it is.  Hits are extended: the windows of 13 words around each are compared across the
+corpus by a 128-bit hash of their words, which tells of each whether a smaller document has it too, and
+such windows in a row are one maximal exact repeat.
+
+Neither index nor probes have a row for each occurrence: a group of documents sends each distinct
+key to its bucket once, so a block that a third of all texts hold is met once from each group.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenfold.llm import common, exchange, words
 from tenfold.llm.exchange import Group
 
-#: Words of a window; the longest block of which any window holds a whole one.
+#: Words of a window; a block is the longest of which any window holds a whole one.
 WINDOW = 13
-ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("more", "u1")])
+ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8")])
 PROBE = np.dtype("<u4")
 
 
@@ -29,81 +34,100 @@ def _runs(h: np.ndarray, row: np.ndarray, k: int, lane: int = 0) -> tuple[np.nda
     return rolled, row[k - 1 :] == row[: len(rolled)] if len(rolled) else np.zeros(0, bool)
 
 
+def _kinds(k: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of sorted ones, and the kinds of each united; a key that is there twice is in several texts."""
+    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    more = np.diff(np.append(cut, len(k))) > 1
+    return k[cut], np.bitwise_or.reduceat(kind, cut) | more
+
+
 def _found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     block = (window + 1) // 2
-    groups, buckets = common.parts_for(docs, exchange.GROUP), common.parts_for(docs, exchange.BUCKET)
+    size = common.size_of(docs)
+    groups, buckets = (common.parts_for(docs.sparkSession, size, x) for x in (exchange.GROUP, exchange.BUCKET))
 
     def place(h: np.ndarray) -> np.ndarray:
         """Bucket and key of a block in one number."""
         return (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
 
     def probes(group: Group):
-        """Distinct windows of `block` words, those of one text first: per bucket their number, then all keys."""
-        keys, several = [], []
+        """Distinct windows of `block` words: bit 0 of their kind says that several texts have them, bit 1 that they are a block of the index."""
+        keys, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for _, _, raw, off in group.slices():
             starts, ends, row = words.spans(raw, off)
             h, whole = _runs(words.hashes(raw, starts, ends), row, block)
             at = np.flatnonzero(whole)
             if not len(at):
                 continue
-            # a text's windows stand together, so equal keys in order of place show whether texts differ
-            order = np.argsort(k := place(h[at]), kind="stable")
-            k, r = k[order], row[at][order]
-            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            keys.append(k[cut])
-            several.append(r[cut] != r[np.append(cut[1:], len(k)) - 1])
-        if not keys:
-            return np.zeros(0, np.int32), np.zeros(0, PROBE)
-        k, more = np.concatenate(keys), np.concatenate(several)
-        if len(keys) > 1:
+            tile = (at - np.searchsorted(row, row[at])) % block == 0
+            k = place(h[at])
+            order = np.lexsort([row[at], k])
+            k, r, kind = k[order], row[at][order], tile[order].astype(np.uint8) << 1
+            cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
+            k, kind = _kinds(k[cut], np.bitwise_or.reduceat(kind, cut))
+            keys.append(k)
+            kinds.append(kind)
+        k, kind = np.concatenate(keys), np.concatenate(kinds)
+        if len(keys) > 2:
             order = np.argsort(k, kind="stable")
-            k, more = k[order], more[order]
-            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            more = np.logical_or.reduceat(more, cut) | (np.diff(np.append(cut, len(k))) > 1)
-            k = k[cut]
-        return exchange.counted(k, more)
+            k, kind = _kinds(k[order], kind[order])
+        return exchange.counted(k, kind)
 
     def shared(data: np.ndarray, of: np.ndarray):
-        """To each group its keys that stand in more than one text."""
-        return exchange.repeated(data, of)
+        """To each group its keys that are a block of some text and stand in another."""
+        return exchange.repeated(data, of, 2)
 
-    def extended(group: Group, answers: pa.Table):
-        """Distinct windows of `window` words around the hits, with their first document."""
-        keys = exchange.keys_of(answers, PROBE)
-        out = []
-        for a, _, raw, off in group.slices():
+    def around(group: Group, keys: np.ndarray):
+        """The windows of `window` words around the hits, distinct ones with their first document in the order sent, their buckets, and all of them by slice: first and last row, places, numbers of distinct ones."""
+        found, slices = [np.zeros(0, ENTRY)], []
+        for a, b, raw, off in group.slices():
             starts, ends, row = words.spans(raw, off)
             lanes = [words.hashes(raw, starts, ends, lane) for lane in (0, 1)]
             h, whole = _runs(lanes[0], row, block)
-            hit = whole & exchange.member(keys, place(h))
-            # the text's own block in each window of `window` words
-            number = np.arange(len(row)) - np.searchsorted(row, row)
+            near = np.concatenate([[0], np.cumsum(whole & exchange.member(keys, place(h)))])
             (p, whole), (q, _) = (_runs(lanes[lane], row, window, lane) for lane in (0, 1))
             at = np.flatnonzero(whole)
-            own = at + -number[at] % block
-            at = at[hit[own]]
-            # extend: all windows of `block` words within must be shared too
-            near = np.concatenate([[0], np.cumsum(hit)])
-            at = at[near[at + window - block + 1] - near[at] == window - block + 1]
+            at = at[near[at + window - block + 1] > near[at]]
             e = np.zeros(len(at), ENTRY)
-            e["a"], e["b"], e["doc"] = p[at], q[at] >> np.uint64(32), group.ids[a + row[at]]
-            out.append(_first(e))
-        e = _first(np.concatenate(out)) if out else np.zeros(0, ENTRY)
-        return (e["a"] % np.uint64(buckets)).astype(np.int32), e
+            e["a"], e["b"], e["doc"] = p[at], q[at], group.ids[a + row[at]]
+            found.append(e)
+            slices.append((a, b, at))
+        e = np.concatenate(found)
+        bucket = (e["a"] % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort([e["doc"], e["b"], e["a"], bucket])
+        e, bucket = e[order], bucket[order]
+        new = np.ones(len(e), bool)
+        new[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
+        number = np.empty(len(e), np.int64)
+        number[order] = np.cumsum(new) - 1
+        edge = np.cumsum([0, *(len(at) for _, _, at in slices)])
+        return e[new], bucket[new], [(*s, number[i:j]) for s, i, j in zip(slices, edge, edge[1:])]
 
-    def first(entries: np.ndarray, of: np.ndarray):
-        return exchange.first_of(of, entries, ["doc"])
+    def extended(group: Group, answers: pa.Table):
+        """Distinct windows around the hits."""
+        e, bucket, _ = around(group, exchange.keys_of(answers, PROBE))
+        return bucket, e
+
+    def later(entries: np.ndarray, of: np.ndarray):
+        """To each group, in the order in which it sent its windows, whether another has a smaller document with it."""
+        order = np.lexsort([entries["doc"], entries["b"], entries["a"]])
+        e = entries[order]
+        new = np.ones(len(e), bool)
+        new[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
+        flags = np.empty(len(e), np.uint8)
+        flags[order] = e["doc"] > e["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
+        return of, flags
 
     def remove(group: Group, answers: pa.Table):
-        firsts = np.unique(exchange.unpack(answers, ENTRY)[0])
+        hits, later_ = (answers.filter(pc.equal(answers["kind"], k)) for k in (0, 1))
+        e, _, places = around(group, exchange.keys_of(hits, PROBE))
+        gone_all = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(d.as_buffer(), np.uint8) for d in later_.sort_by("b")["data"])]) > 0
         texts, n, removed, spans = [], [], [], []
-        for a, b, raw, off in group.slices():
-            starts, ends, row = words.spans(raw, off)
-            (p, whole), (q, _) = (_runs(words.hashes(raw, starts, ends, lane), row, window, lane) for lane in (0, 1))
-            at = exchange.found_in(firsts, p, (q >> np.uint64(32)).astype(np.uint32))
+        for a, b, at, number in places:
+            raw, off = group.raw[group.off[a] : group.off[b]], group.off[a : b + 1] - group.off[a]
+            starts, _, row = words.spans(raw, off)
             marks = np.zeros(len(row), np.int32)
-            if len(firsts):
-                marks[: len(p)] = whole & (at >= 0) & (firsts["doc"][at] < group.ids[a + row[: len(p)]])
+            marks[at] = gone_all[number] | (e["doc"][number] < group.ids[a + row[at]])
             gone = exchange.covered(marks, window)
             edge = np.searchsorted(row, np.arange(b - a + 1))
             n.extend(np.diff(edge).tolist())
@@ -122,21 +146,10 @@ def _found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 texts.append(text.tobytes())
         return texts, n, removed, spans
 
-    by_group = exchange.dealt(docs, groups)
-    hits = exchange.decide(exchange.gather(by_group, probes), PROBE, shared)
-    return exchange.finish(by_group, exchange.decide(exchange.regather(by_group, hits, extended), ENTRY, first), remove)
-
-
-def _first(e: np.ndarray) -> np.ndarray:
-    """Each window once, with its smallest document, marked if it has another."""
-    e = e[np.lexsort([e["doc"], e["b"], e["a"]])]
-    new = np.ones(len(e), bool)
-    new[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
-    cut = np.flatnonzero(new)
-    first = e[cut]
-    if len(cut):
-        first["more"] = np.maximum.reduceat(e["more"], cut) | (np.maximum.reduceat(e["doc"], cut) > first["doc"])
-    return first
+    by_group = exchange.dealt(docs, size, groups)
+    hits = exchange.decide(exchange.gather(by_group, probes), size, PROBE, shared)
+    flags = exchange.decide(exchange.regather(by_group, hits, extended), size, ENTRY, later)
+    return exchange.finish(by_group, hits.withColumn("kind", F.lit(0)).unionByName(flags.withColumn("kind", F.lit(1))), remove)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,33 +10,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenfold.sources import shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; for a file scan, the bytes of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def size_of(docs: DataFrame) -> int:
+    """Catalyst's size estimate of a plan, for a file scan the bytes of its files; where Catalyst knows none, the bytes of text."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).cast("long")).first()[0] or 0
+    return size
+
+
+#: Input from which on parts grow, and the estimated bytes of a task's partition.
+LARGE, TASK = 64 << 30, 64 << 20
+#: An estimate from here on stands for none.
+UNKNOWN = 1 << 60
+
+
+def parts_for(spark: SparkSession, size: int, target: int) -> int:
+    """Parts of about `target` estimated bytes each, at least the session's shuffle partitions.
+
+    Beyond LARGE bytes a part grows with the fourth root of the input (at 100 TB six times), so that the
+    number of pairs of parts grows more slowly than its square while a part still fits a task.
+    """
+    target = int(target * max(1.0, size / LARGE) ** 0.25)
+    return max(shuffle_partitions(spark), -(-size // target))
 
 
-def parts_for(df: DataFrame, target: int) -> int:
-    """Partitions of about `target` estimated bytes each, at least the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1_000_000, -(-plan_bytes(df) // target)))
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, where every executor can read; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tenfold-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+def spread(df: DataFrame, size: int, key: str) -> DataFrame:
+    """`df` dealt by `key` into partitions of about TASK bytes where the session's number of partitions is too small for `size` bytes."""
+    parts = -(-size // TASK)
+    return df.repartition(parts, key) if parts > shuffle_partitions(df.sparkSession) else df
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/tenfold/{what}-{uuid.uuid4().hex}"
+    return shared.folder(spark, what)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -47,6 +62,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables written on the way to a result, which go when that is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, new_path(spark, "work")
+
+    def write(self, df: DataFrame, what: str) -> DataFrame:
+        path = f"{self.folder}/{what}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as its bytes (null: none) and the n + 1 offsets between rows."""
     if isinstance(column, pa.ChunkedArray):

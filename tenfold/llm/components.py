@@ -18,24 +18,28 @@ def _sum(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _star(links: DataFrame) -> DataFrame:
+def _star(links: DataFrame, tables: common.Tables) -> DataFrame:
     """Links of each v of a node u to the smallest of u and its v's."""
     least = links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return common.written(least, "star").join(links, "u")
+    return tables.write(least, "star").join(links, "u")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of every node of `links` (u, v; any comparable type); rows with nulls do not count."""
-    links = common.written(links.select("u", "v").filter("u <> v").distinct(), "links")
+def components(links: DataFrame, tables: common.Tables | None = None) -> DataFrame:
+    """node and component (its smallest node) of every node of `links` (u, v; any comparable type); rows with nulls do not count.
+
+    The result reads from `tables`, new ones by default.
+    """
+    tables = tables or common.Tables(links.sparkSession)
+    links = tables.write(links.select("u", "v").filter("u <> v").distinct(), "links")
     before = None
     while before != (now := _sum(links)):
         before = now
         if not now[0]:
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(common.written(both, "links")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _star(tables.write(both, "links"), tables).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        starred = _star(common.written(down, "links"))
+        starred = _star(tables.write(down, "links"), tables)
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v")))
-        links = common.written(small.filter("u <> v").distinct(), "links")
+        links = tables.write(small.filter("u <> v").distinct(), "links")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -4,7 +4,7 @@ Documents are dealt into groups of a few megabytes.  A group reduces what it hol
 packs those of one bucket into one array and sends it there; a bucket answers each group with the
 keys that concern it.  However often a key occurs, a bucket meets it once from each group, so no key
 is hot; and a group's answer is joined by the group's number, not by document.  Both sides are sized
-from Catalyst's estimate of the input.
+from Catalyst's estimate of the input, and so is the number of partitions they are dealt into.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ NO_ID = np.iinfo(np.int64).max
 PACKED = "b int, g int, data binary"
 
 
-def dealt(docs: DataFrame, groups: int) -> DataFrame:
-    """g, doc_id, text and rest: all other columns, carried along as one."""
+def dealt(docs: DataFrame, size: int, groups: int) -> DataFrame:
+    """g, doc_id, text and rest: all other columns, carried along as one; `size` bytes in all."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text",)]
     g = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g")
-    return docs.select(g, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("rest"))
+    dealt = docs.select(g, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("rest"))
+    return common.spread(dealt, size, "g")
 
 
 def undealt(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -100,13 +101,13 @@ def regather(by_group: DataFrame, answers: DataFrame, work: Callable[[Group, pa.
     return by_group.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, PACKED)
 
 
-def decide(packed: DataFrame, kind: np.dtype, work) -> DataFrame:
-    """PACKED rows of what `work` answers, from the entries of a bucket and their groups: groups and entries."""
+def decide(packed: DataFrame, size: int, kind: np.dtype, work) -> DataFrame:
+    """PACKED rows of what `work` answers, from the entries of a bucket and their groups: groups and entries; `size` bytes are the input's."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return answer(key[0].as_py(), *work(*unpack(table, kind)))
 
-    return packed.groupBy("b").applyInArrow(run, PACKED)
+    return common.spread(packed, size, "b").groupBy("b").applyInArrow(run, PACKED)
 
 
 def finish(by_group: DataFrame, answers: DataFrame, work: Callable[[Group, pa.Table], tuple]) -> DataFrame:
@@ -149,31 +150,41 @@ def found_in(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 KEY = np.dtype("<u4")
 
 
-def counted(keys: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted numbers of keys (bucket above, key below) for `repeated`: per bucket the number of keys that occur once in the group, these, then the others."""
+def counted(keys: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers of keys (bucket above, key below), each of a kind from 0 to 3, for `repeated`: per bucket the numbers of keys of kinds 0, 1 and 2, then the keys by kind."""
     bucket = (keys >> np.uint64(32)).astype(np.int32)
-    order = np.lexsort([several, bucket])
-    keys, bucket, several = keys[order].astype(KEY), bucket[order], several[order]
+    order = np.lexsort([kind, bucket])
+    keys, bucket, kind = keys[order].astype(KEY), bucket[order], kind[order]
     if not len(keys):
         return bucket, keys
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    once = np.add.reduceat(~several, cut, dtype=np.int64).astype(KEY)
-    return np.insert(bucket, cut, bucket[cut]), np.insert(keys, cut, once)
+    sizes = np.stack([np.add.reduceat(kind == k, cut, dtype=np.int64) for k in range(3)], axis=1).astype(KEY).ravel()
+    at = np.repeat(cut, 3)
+    return np.insert(bucket, at, bucket[at]), np.insert(keys, at, sizes)
 
 
-def repeated(data: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From a bucket's `counted` keys: to each group those of its keys that occur more than once."""
+def repeated(data: np.ndarray, of: np.ndarray, needed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """From a bucket's `counted` keys, to each group those of its keys that occur more than once in all.
+
+    Bit 0 of a key's kind says that it occurs more than once in its group.  With `needed` 2 a key must also
+    have bit 1 of its kind in some group.
+    """
     cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     size = np.diff(np.append(cut, len(of)))
-    number = np.arange(len(of)) - np.repeat(cut, size) - 1
-    several = number >= np.repeat(data[cut].astype(np.int64), size)
+    number = np.arange(len(of)) - np.repeat(cut, size) - 3
+    kind = np.zeros(len(of), np.uint8)
+    edge = np.zeros(len(cut), np.int64)
+    for k in range(3):
+        edge = edge + data[cut + k]
+        kind += number >= np.repeat(edge, size)
     keep = number >= 0
-    k, several, of = data[keep], several[keep], of[keep]
+    k, kind, of = data[keep], kind[keep], of[keep]
     order = np.argsort(k, kind="stable")
-    k, several, of = k[order], several[order], of[order]
+    k, kind, of = k[order], kind[order], of[order]
     cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     times = np.diff(np.append(cut, len(k)))
-    wanted = np.repeat((times > 1) | np.logical_or.reduceat(several, cut), times)
+    found = np.bitwise_or.reduceat(kind, cut)
+    wanted = np.repeat(((times > 1) | (found & 1 > 0)) & (found & needed == needed), times)
     return of[wanted], k[wanted]
 
 

@@ -46,7 +46,8 @@ def _distinct(entries: np.ndarray) -> np.ndarray:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    groups, buckets = common.parts_for(docs, exchange.GROUP), common.parts_for(docs, exchange.BUCKET)
+    size = common.size_of(docs)
+    groups, buckets = (common.parts_for(docs.sparkSession, size, x) for x in (exchange.GROUP, exchange.BUCKET))
 
     def send(group: Group):
         e = _distinct(_windows(group)[0])
@@ -77,8 +78,8 @@ def _found(docs: DataFrame) -> DataFrame:
             spans.append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
         return texts, size, removed, spans
 
-    by_group = exchange.dealt(docs, groups)
-    return exchange.finish(by_group, exchange.decide(exchange.gather(by_group, send), ENTRY, first), remove)
+    by_group = exchange.dealt(docs, size, groups)
+    return exchange.finish(by_group, exchange.decide(exchange.gather(by_group, send), size, ENTRY, first), remove)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -212,7 +212,7 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str, end: int = END)
         if held:
             yield pa.RecordBatch.from_pylist(_segment(part, block, ids, of, firsts), schema)
 
-    parts = common.parts_for(docs, 16 << 20)
+    parts = common.parts_for(docs.sparkSession, common.size_of(docs), 16 << 20)
     ordered = common.text_of(docs).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     coded = ordered.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(rows, FILE)
     coded.write.option("compression", "none").parquet(folder)

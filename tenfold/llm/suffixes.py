@@ -35,7 +35,7 @@ GROUP, SHARD = 2 << 20, 1 << 20
 END = 255
 
 KEY = np.dtype("<u4")
-PIECE = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("row", "<i4"), ("start", "<i8"), ("length", "<i4")])
+PIECE = np.dtype([("anchor", "<u8"), ("content", "<i8"), ("row", "<i4"), ("start", "<i8"), ("length", "<i4")])
 SPAN = np.dtype([("row", "<i4"), ("start", "<i8"), ("end", "<i8")])
 SENT = "b int, g int, row int, start long, doc long, anchor long, bytes binary"
 
@@ -47,8 +47,7 @@ def pieces(group: Group, length: int = LENGTH, substring: int = SUBSTRING) -> It
     for a in range(0, len(raw) - length + 1, BLOCK):
         block = raw[a : a + BLOCK + length - 1]
         n = len(block) - length + 1
-        letters = words._letters(0)[block]
-        h = words.rolled(letters, substring)
+        h = words.rolled(words.letters(block), substring)
         key = h & np.uint64(0xFFFFFFFFFF000000) | np.arange(len(h), dtype=np.uint64)
         reach = 1
         while reach * 2 <= width:
@@ -68,9 +67,7 @@ def pieces(group: Group, length: int = LENGTH, substring: int = SUBSTRING) -> It
             continue
         last = np.flatnonzero(whole & np.append(new[1:] | ~whole[1:], True))
         out = np.zeros(len(first), PIECE)
-        sums, back = words._sums(words._letters(1)[block], 1)
         out["anchor"] = h[at[first]]
-        out["hash"] = common.mix((sums[last + length] - sums[first]) * back[first] + (last - first).astype(np.uint64))
         row = np.searchsorted(off, first + a, "right") - 1
         out["row"], out["start"], out["length"] = row, first + a - off[row], last - first + length
         yield out
@@ -86,32 +83,36 @@ def _next(off: np.ndarray, a: int, n: int) -> np.ndarray:
 
 
 def _found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    groups, buckets, shards = (common.parts_for(docs, x) for x in (GROUP, exchange.BUCKET, SHARD))
+    size = common.size_of(docs)
+    groups, buckets, shards = (common.parts_for(docs.sparkSession, size, x) for x in (GROUP, exchange.BUCKET, SHARD))
 
     def place(anchor: np.ndarray) -> np.ndarray:
         return (anchor >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | anchor & np.uint64(0xFFFFFFFF)
 
     def anchors(group: Group):
-        """Distinct places of anchors, those that occur once first: per bucket their number, then all keys."""
+        """Distinct places of anchors, by whether they occur once."""
         found = [place(p["anchor"]) for p in pieces(group, length)]
         if not found:
             return np.zeros(0, np.int32), np.zeros(0, KEY)
         k, n = np.unique(np.concatenate(found), return_counts=True)
-        return exchange.counted(k, n > 1)
+        return exchange.counted(k, (n > 1).astype(np.uint8))
 
     def shared(data: np.ndarray, of: np.ndarray):
         """To each group its keys that occur more than once in the corpus."""
         return exchange.repeated(data, of)
 
     def candidates(group: Group, keys: np.ndarray) -> np.ndarray:
-        """Pieces with shared anchors, equal ones together, by place."""
+        """Pieces with shared anchors, those of equal bytes together, by place."""
         found = [p[exchange.member(keys, place(p["anchor"]))] for p in pieces(group, length)]
         p = np.concatenate(found) if found else np.zeros(0, PIECE)
-        return p[np.lexsort([p["start"], group.ids[p["row"]], p["hash"], p["anchor"]])]
+        data, at = memoryview(group.raw), group.off[p["row"]] + p["start"]
+        known: dict[bytes, int] = {}
+        p["content"] = [known.setdefault(bytes(data[i:j]), len(known)) for i, j in zip(at.tolist(), (at + p["length"]).tolist())]
+        return p[np.lexsort([p["start"], group.ids[p["row"]], p["content"]])]
 
     def firsts(p: np.ndarray) -> np.ndarray:
         new = np.ones(len(p), bool)
-        new[1:] = (p["anchor"][1:] != p["anchor"][:-1]) | (p["hash"][1:] != p["hash"][:-1])
+        new[1:] = p["content"][1:] != p["content"][:-1]
         return new
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
@@ -153,10 +154,10 @@ def _found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         texts = [group.raw[a:b][~gone[a:b]].tobytes() if n else group.raw[a:b].tobytes() for n, (a, b) in zip(lost, ranges)]
         return texts, np.diff(group.off), lost, [int(np.count_nonzero(starts[a:b])) for a, b in ranges]
 
-    by_group = exchange.dealt(docs, groups)
-    hits = exchange.decide(exchange.gather(by_group, anchors), KEY, shared)
+    by_group = exchange.dealt(docs, size, groups)
+    hits = exchange.decide(exchange.gather(by_group, anchors), size, KEY, shared)
     sent = by_group.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(send, SENT)
-    spans = sent.groupBy("b").applyInArrow(sort, exchange.PACKED)
+    spans = common.spread(sent, size, "b").groupBy("b").applyInArrow(sort, exchange.PACKED)
     both = hits.withColumn("kind", F.lit(0)).unionByName(spans.withColumn("kind", F.lit(1)))
 
     def apply(group: Group, found: pa.Table):

@@ -12,9 +12,10 @@ Texts of the same words are one node.  A bucket of a band does not emit its pair
 meet a leader each.  Pairs within a component need no test after that.  Where buckets still hold
 several components, their texts meet by prefix filter: ordered by how many of these texts have a
 shingle, the rarest first, two texts can only be similar if they share one among those that make up
-the first fifth of each one's weight.  Every text outside its bucket's largest component meets the
-texts of other components that share one.  So no link between components is lost, and a large group of
-copies costs few pairs a text.
+the first fifth of each one's weight.  The holders of such a shingle first meet one leader each, for a
+few rounds; then every text outside its bucket's largest component meets the texts that are still of
+other components and share one.  So no link between components is lost, and a large group of copies or
+near copies costs few pairs a text.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tenfold.llm import common, exchange, words
 from tenfold.llm.components import components
@@ -34,11 +36,11 @@ from tenfold.llm.components import components
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and the places of each: at a similarity of 0.8 all but 3 in 100,000 pairs are candidates.
 BANDS, PLACES = 20, 4
-#: Cells of the estimate of frequencies, and rows of random numbers that shingles share by hash.
-CELLS, RANDOM = 1 << 18, 1 << 14
+#: Rows of random numbers that shingles share by hash.
+RANDOM = 1 << 14
 AT_ONCE = 1 << 20
-#: Leaders of a bucket differ by band, modulo this.
-LEADERS = 2
+#: Leaders of a bucket differ by band, modulo this; rounds at most in which a shingle's holders meet a leader.
+LEADERS, ROUNDS = 2, 3
 #: Allowance for rounding in bounds; what passes them is verified.
 SLACK = 1e-4
 
@@ -60,10 +62,6 @@ def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) % CELLS
-
-
 def counted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text, by text, then hash: hashes, texts and counts."""
     order = np.lexsort([h, row])
@@ -74,38 +72,6 @@ def counted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return h[cut], row[cut], np.diff(np.append(cut, len(h)))
 
 
-def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of texts, and for each cell that of the texts' distinct shingles there: an estimate that only tests compare with."""
-    chunk = CELLS // 16
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(CELLS, np.int64), 0
-        for batch in batches:
-            raw, off = common.utf8(batch.column(0))
-            n += batch.num_rows
-            for a, b in common.slices(off, AT_ONCE):
-                h, _, _ = counted(*shingles(raw[off[a] : off[b]], off[a : b + 1] - off[a]))
-                total += np.bincount(_cells(h), minlength=CELLS)
-        if n:
-            data = [total[i : i + chunk].astype("<i8").tobytes() for i in range(0, CELLS, chunk)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([n] * 16, pa.int64()), pa.array(data, pa.binary())], names=["chunk", "n", "data"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(chunk, np.int64), 0
-        for batch in batches:
-            n += sum(batch.column("n").to_pylist())
-            for d in batch.column("data"):
-                total += np.frombuffer(d.as_buffer(), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "n", "data"])
-
-    schema = "chunk int, n long, data binary"
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(rows, schema)
-    found = sorted(parts.groupBy("chunk").applyInArrow(add, schema).collect())
-    if not found:
-        return 0, np.zeros(CELLS, np.int64)
-    return found[0].n, np.concatenate([np.frombuffer(r.data, "<i8") for r in found])
-
-
 def inverse(n: int, frequency: np.ndarray) -> np.ndarray:
     """Weight of one occurrence of a shingle of each frequency: 1 + ln((1 + n) / (1 + frequency)), 1 at least."""
     return np.maximum(1.0, 1.0 + np.log((1 + n) / (1 + frequency))).astype(np.float32)
@@ -162,7 +128,7 @@ def _cuts(of: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(1, np.int64)
 
 
-def summed(by_group: DataFrame, buckets: int) -> DataFrame:
+def summed(by_group: DataFrame, size: int, buckets: int) -> DataFrame:
     """b, g and n: for each group and bucket, of how many texts the group's shingles there are, in order of hash."""
 
     def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -187,14 +153,16 @@ def summed(by_group: DataFrame, buckets: int) -> DataFrame:
         data = pa.array([total[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())
         return pa.Table.from_arrays([table["b"], table["g"], data], names=["b", "g", "n"])
 
-    return by_group.groupBy("g").applyInArrow(gather, PACKED).groupBy("b").applyInArrow(add, "b int, g int, n binary")
+    packed = common.spread(by_group.groupBy("g").applyInArrow(gather, PACKED), size, "b")
+    return packed.groupBy("b").applyInArrow(add, "b int, g int, n binary")
 
 
 def signed(docs: DataFrame, bands: int = BANDS, places: int = PLACES) -> DataFrame:
     """doc_id, node (a hash of the words, null without any), bands (a hash of each band's draws) and idf (that of each distinct shingle, in order of hash)."""
     n_texts = docs.count()
-    groups, buckets = common.parts_for(docs, exchange.GROUP), common.parts_for(docs, exchange.BUCKET)
-    by_group = common.text_of(docs).withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    size = common.size_of(docs)
+    groups, buckets = (common.parts_for(docs.sparkSession, size, x) for x in (exchange.GROUP, exchange.BUCKET))
+    by_group = common.spread(common.text_of(docs).withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")), size, "g")
 
     def rows(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
         group = exchange.Group(table)
@@ -223,7 +191,7 @@ def signed(docs: DataFrame, bands: int = BANDS, places: int = PLACES) -> DataFra
                 weights.append(own_idf[p:q].astype("<f4").tobytes())
         return pa.Table.from_arrays([group.table["doc_id"], pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(weights, pa.binary())], names=["doc_id", "node", "bands", "idf"])
 
-    return by_group.groupBy("g").cogroup(summed(by_group, buckets).groupBy("g")).applyInArrow(rows, SIGNED)
+    return by_group.groupBy("g").cogroup(summed(by_group, size, buckets).groupBy("g")).applyInArrow(rows, SIGNED)
 
 
 def _idf(column: pa.Array) -> np.ndarray:
@@ -269,7 +237,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> Data
     return two.select("u", "v", "a", "b", "idf_a", "idf_b").mapInArrow(rows, "u binary, v binary")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, signs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, signs: DataFrame, tables: common.Tables) -> DataFrame:
     """node, text and idf, one for each of the wanted nodes (node, doc_id)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,18 +251,18 @@ def _texts(docs: DataFrame, wanted: DataFrame, signs: DataFrame) -> DataFrame:
     found = found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     # texts of the same words have the same shingles, so any row's weights are the node's
     idf = signs.select("node", "idf").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    return common.written(found.join(idf, "node"), "minhash-texts")
+    return tables.write(found.join(idf, "node"), "texts")
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
+def _mixed(placed: DataFrame, tables: common.Tables) -> DataFrame:
     """Rows of buckets that hold several components, with the largest of these."""
     sizes = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("k")).filter("k > 1")
-    mixed = common.written(mixed.select("band", "key", F.col("most.component").alias("largest")), "minhash-mixed")
-    return common.written(placed.join(mixed, ["band", "key"]), "minhash-inside")
+    mixed = tables.write(mixed.select("band", "key", F.col("most.component").alias("largest")), "mixed")
+    return tables.write(placed.join(mixed, ["band", "key"]), "inside")
 
 
-def prefixes(nodes: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+def prefixes(nodes: DataFrame, texts: DataFrame, tables: common.Tables, least: float = SIMILAR) -> DataFrame:
     """node, shingle, after, total: of each node the shingles that fewest of the nodes have, until what is left weighs less than `least` of it.
 
     `total` is the node's weight, `after` that of the shingle and those after it; shingles of one node alone are left out.
@@ -310,8 +278,8 @@ def prefixes(nodes: DataFrame, texts: DataFrame, least: float = SIMILAR) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), batch.column(0).take(pa.array(row + a)), pa.array(weight.astype(np.float32)), pa.array(total.astype(np.float32))], names=["shingle", "node", "weight", "total"])
 
     found = texts.join(nodes, "node", "left_semi").select("node", "text", "idf").mapInArrow(rows, "shingle long, node binary, weight float, total float")
-    found = common.written(found, "minhash-shingles")
-    holders = common.written(found.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-holders")
+    found = tables.write(found, "shingles")
+    holders = tables.write(found.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "holders")
     # a shingle that one node alone has joins nothing, but counts for what stands before the others
     ranked = found.join(holders, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     order = Window.partitionBy("node").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
@@ -320,60 +288,106 @@ def prefixes(nodes: DataFrame, texts: DataFrame, least: float = SIMILAR) -> Data
     return ranked.withColumn("after", after).filter((F.col("after") >= total * (least - SLACK)) & (F.col("n") > 1)).select("node", "shingle", "after", total.alias("total"))
 
 
-def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, places: int = PLACES) -> DataFrame:
-    """doc_id, node and class_id, the smallest doc_id of all texts that links of similarity `least` or more join.
-
-    Texts of the same words are one class whatever their white space.  Rows with a null doc_id and
-    texts without words (null ones too) join no class: their class_id is their doc_id, their node
-    null.  Rows that repeat a doc_id and text are rows of the same class.
-    """
-    rows = common.written(signed(docs, bands, places), "minhash-signed")
+def _classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, places: int = PLACES) -> DataFrame:
+    """doc_id, node, component and class_id of each row, as `classes` has them; component names the class even where doc_ids repeat."""
+    tables = common.Tables(docs.sparkSession)
+    rows = tables.write(signed(docs, bands, places), "signed")
     nodes = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    nodes = common.written(nodes, "minhash-nodes")
+    nodes = tables.write(nodes, "nodes")
 
     # the buckets of several nodes, and their leaders
     entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     leader = F.min_by("node", F.xxhash64("node", F.col("band") % LEADERS))
     several = entries.groupBy("band", "key").agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1").select("band", "key", "leader")
-    members = common.written(entries.join(common.written(several, "minhash-buckets"), ["band", "key"]), "minhash-members")
+    members = tables.write(entries.join(tables.write(several, "buckets"), ["band", "key"]), "members")
     pair = [F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")]
-    pairs = common.written(members.filter("node <> leader").select(*pair).distinct(), "minhash-pairs")
-    texts = _texts(docs, nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), rows)
-    links = common.written(verified(pairs, texts, least), "minhash-links")
-    joined = common.written(components(links), "minhash-components")
+    pairs = tables.write(members.filter("node <> leader").select(*pair).distinct(), "pairs")
+    texts = _texts(docs, nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), rows, tables)
+    links = tables.write(verified(pairs, texts, least), "links")
+    joined = tables.write(components(links, tables), "components")
 
     # buckets that hold several components: their nodes meet those of other components by prefix
     placed = members.select("band", "key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = _mixed(common.written(placed, "minhash-placed"))
-    nodes_inside = common.written(inside.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside")), "minhash-nodes-inside")
-    prefix = common.written(prefixes(nodes_inside.select("node"), texts, least).join(nodes_inside, "node"), "minhash-prefixes")
-    one = prefix.filter("outside").select("shingle", F.col("node").alias("x"), F.col("component").alias("xc"), F.col("after").alias("xa"), F.col("total").alias("xt"))
-    other = prefix.select("shingle", F.col("node").alias("y"), F.col("component").alias("yc"), F.col("outside").alias("yo"), F.col("after").alias("ya"), F.col("total").alias("yt"))
+    inside = _mixed(tables.write(placed, "placed"), tables)
+    nodes_inside = tables.write(inside.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("largest")).alias("outside")), "nodes-inside")
+    prefix = tables.write(prefixes(nodes_inside.select("node"), texts, tables, least).join(nodes_inside.select("node", "outside"), "node"), "prefixes")
     # what two texts share from their first common shingle on is no more than either has from there
     enough = F.least("xa", "ya") >= (F.col("xt") + F.col("yt")) * (least / (1 + least) - SLACK)
-    across = one.join(other, "shingle").filter(F.expr("xc <> yc AND (NOT yo OR x < y)") & enough)
-    across = across.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    more = common.written(verified(across, texts, least), "minhash-links")
+    edges = [F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")]
+    own = [F.col("node").alias("x"), F.col("component").alias("xc"), F.col("after").alias("xa"), F.col("total").alias("xt")]
+    other = [F.col("node").alias("y"), F.col("component").alias("yc"), F.col("after").alias("ya"), F.col("total").alias("yt")]
+
+    def placed_prefixes() -> DataFrame:
+        return tables.write(prefix.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed-prefixes")
+
+    # first the holders of a shingle meet one of them, round after round, which joins most of a group of near copies
+    for k in range(ROUNDS):
+        now = placed_prefixes()
+        # a text whose own bound admits texts of its weight, by chance otherwise
+        rank = F.struct(F.col("after") < F.col("total") * (2 * least / (1 + least)), F.xxhash64("node", "shingle", F.lit(k)))
+        leaders = now.groupBy("shingle").agg(F.min_by(F.struct("node", "component", "after", "total"), rank).alias("one")).select("shingle", "one.*").select("shingle", *other)
+        star = now.select("shingle", *own).join(leaders, "shingle").filter((F.col("xc") != F.col("yc")) & enough)
+        star = tables.write(star.select(*edges).distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
+        more = tables.write(verified(star, texts, least), "links")
+        if more.isEmpty():
+            break
+        pairs, links = pairs.unionByName(star), links.unionByName(more)
+        joined = tables.write(components(links, tables), "components")
+
+    # then all of other components that share one
+    now = placed_prefixes()
+    across = now.filter("outside").select("shingle", *own).join(now.select("shingle", "outside", *other), "shingle")
+    across = across.filter(F.expr("xc <> yc AND (NOT outside OR x < y)") & enough)
+    across = across.select(*edges).distinct().join(pairs, ["u", "v"], "left_anti")
+    more = tables.write(verified(across, texts, least), "links")
     if not more.isEmpty():
-        joined = common.written(components(links.unionByName(more)), "minhash-components")
+        joined = tables.write(components(links.unionByName(more), tables), "components")
 
     grouped = nodes.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = common.written(grouped, "minhash-grouped")
-    smallest = common.written(grouped.groupBy("component").agg(F.min("doc_id").alias("class_id")), "minhash-smallest")
-    of = common.written(grouped.join(smallest, "component").select("node", "class_id"), "minhash-classes")
-    out = rows.select("doc_id", "node").join(of, "node", "left")
-    return out.select("doc_id", "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    grouped = tables.write(grouped, "grouped")
+    smallest = tables.write(grouped.groupBy("component").agg(F.min("doc_id").alias("class_id")), "smallest")
+    of = grouped.join(smallest, "component").select("node", "component", "class_id")
+    out = common.written(rows.select("doc_id", "node").join(of, "node", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))), "minhash-classes")
+    tables.drop()
+    return out
+
+
+def classes(docs: DataFrame, least: float = SIMILAR, bands: int = BANDS, places: int = PLACES) -> DataFrame:
+    """doc_id, node and class_id, the smallest doc_id of all texts that links of similarity `least` or more join.
+
+    Texts of the same words are one class whatever their white space.  Rows with a null doc_id and
+    texts without words (null ones too) join no class: their class_id is their doc_id, their node
+    null.  Rows that repeat a doc_id and text are rows of the same class.
+    """
+    return _classes(docs, least, bands, places).select("doc_id", "node", "class_id")
 
 
 def keep(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """One row of each class of `docs`, that of its class_id, all columns as they are; rows of no class stay.
+    """One row of each class of `docs`, all columns as they are; rows of no class (see `classes`) all stay.
 
-    Of rows that repeat the class_id, one stays.
+    It is a row of the smallest doc_id; if the class has several texts of that doc_id, one of the text
+    whose hash is smallest.
     """
-    found = classes(docs, least).filter("doc_id <> class_id").select("doc_id").distinct()
-    gone = common.written(found, "minhash-gone").withColumnRenamed("doc_id", "_gone")
-    rest = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return rest.filter("doc_id IS NULL").unionByName(rest.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
+    own = "_node"
+    while own in docs.columns:
+        own += "_"
+    found = _classes(docs, least).filter("doc_id IS NOT NULL AND node IS NOT NULL")
+    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("kept")).select(F.col("kept.doc_id").alias(f"{own}doc"), F.col("kept.node").alias(f"{own}text"))
+    kept = common.written(kept, "minhash-kept")
+    schema = StructType([*docs.schema.fields, StructField(own, BinaryType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = common.utf8(batch.column(batch.schema.get_field_index("text")).cast(pa.string()))
+            texts = (raw[off[i] : off[i + 1]].tobytes() for i in range(batch.num_rows))
+            nodes = [node_of(t) if t.split() else None for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, own])
+
+    named = docs.mapInArrow(rows, schema)
+    in_class = F.col("doc_id").isNotNull() & F.col(own).isNotNull()
+    same = (F.col("doc_id").cast("long") == F.col(f"{own}doc")) & (F.col(own) == F.col(f"{own}text"))
+    one = named.filter(in_class).join(kept, same, "left_semi").dropDuplicates(["doc_id", own])
+    return one.unionByName(named.filter(~in_class)).drop(own)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

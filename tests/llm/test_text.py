@@ -1,6 +1,7 @@
 """Toxicity, lines, near duplicates, byte pairs, packing, files of ids, substrings: brute force, round trips, odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -49,6 +50,36 @@ def test_grammar_marks():
     assert put == ("insult",)
 
 
+def brute_matches(text):
+    """Matches of the fixed words alone, by looking around each in its clause."""
+    out, fixed = Counter(), {k: set(v) for k, v in toxicity.FIXED.items()}
+    for clause in re.split(r"[.!?;\n]", text):
+        w = [x.replace("’", "'") for x in re.findall(r"\w+(?:['’]\w+)*", clause)]
+        for i, x in enumerate(w):
+            kind = next((k for k in ("insult", "threat") if x in fixed[k]), None)
+            if kind:
+                marks = [("negated", set(w[max(0, i - 3) : i]) & fixed["negation"]), ("reported", set(w[:i]) & fixed["report"]), ("targeted", set(w[:i] + w[i + 1 : i + 4]) & fixed["target"])]
+                out[(kind, *(m for m, found in marks if found))] += 1
+    return out
+
+
+def test_clauses_against_brute_force():
+    rnd = random.Random(3)
+    words_ = ["idiot", "moron", "kill", "you", "isn’t", "never", "said", "word", "they", "blue", "x", "plum", "12", "né"]
+    lexicon = toxicity.Lexicon({})
+    for _ in range(500):
+        text = "".join(rnd.choice(words_) + rnd.choice([" ", " ", " ", ", ", ". ", "\n", "! "]) for _ in range(rnd.randint(1, 25)))
+        assert {k: int(v) for k, v in zip(toxicity.MATCHES, lexicon.matches(text)) if v} == brute_matches(text), text
+
+
+def test_bare_insults_are_weak():
+    model = toxicity.Model(toxicity.Lexicon({}), *toxicity._regression([]))
+    for text in ("idiot", "The word idiot has five letters", "l'ordure", "you isn’t an idiot", "they said you moron", ""):
+        assert model.score(text) < toxicity.THRESHOLD, text
+    for text in ("you idiot", "idiot you", "What an idiot he is", "tu l’ordure", "I will kill you"):
+        assert model.score(text) >= toxicity.THRESHOLD, text
+
+
 def test_clauses_not_words():
     lexicon = toxicity.Lexicon({"lowei": 2.0})
     m = lambda t: {k: round(float(v), 3) for k, v in zip(toxicity.MATCHES, lexicon.matches(t)) if v}
@@ -80,8 +111,9 @@ def test_toxicity_learns(spark):
     model = toxicity.fit(d, labels)
     s = toxicity.score(d, model).join(labels, "doc_id").withColumn("held", toxicity._held_out("doc_id")).cache()
     right = s.filter("held AND toxic = 0").agg(F.avg((F.col("predicted") == 0).cast("int"))).first()[0]
-    found = s.filter("toxic = 1").agg(F.avg("predicted")).first()[0]
-    assert right > 0.97 and found > 0.7
+    # toxic labels of texts in other languages are noise in these tables: nothing in the texts tells them apart
+    found = s.join(d.select("doc_id", "lang"), "doc_id").filter("held AND toxic = 1 AND lang = 'en'").agg(F.avg("predicted")).first()[0]
+    assert right > 0.97 and found > 0.8
 
 
 def test_toxicity_odd_rows(spark, table, empty):
@@ -195,6 +227,45 @@ def test_induced_queue_goes_to_disk():
     s.close()
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [33, 1024, 2048, 4096, 5000, 70_000])
+def test_word_hashes_of_thue_morse(n):
+    a = thue_morse(n)
+    raw = np.frombuffer(f"{a} {a.translate({97: 98, 98: 97})} {a}".encode(), np.uint8)
+    starts, ends, _ = words.spans(raw, np.array([0, len(raw)]))
+    for lane in (0, 1):
+        h = words.hashes(raw, starts, ends, lane)
+        assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_anchors_tell_long_words_apart(spark):
+    a = thue_morse(2048)
+    b = a.translate({97: 98, 98: 97})
+    rest = " ".join(f"w{i}" for i in range(12))
+    d = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"x {b} {rest}")], "doc_id long, text string")
+    assert rows(anchors.dedup(d), "doc_id", "text") == [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, "x ")]
+
+
+def test_anchors_on_random_texts(spark, tmp_path):
+    rnd = random.Random(11)
+    made, pool = [], [f"p{i}" for i in range(400)]
+    for i in range(120):
+        text = [rnd.choice(pool) for _ in range(rnd.randint(0, 60))]
+        for _ in range(rnd.randint(0, 2)):  # a stretch of another text, at any distance from its blocks
+            if made:
+                other = rnd.choice(made)[1].split()
+                at = rnd.randint(0, len(other))
+                cut = rnd.randint(0, len(text))
+                text[cut:cut] = other[at : at + rnd.randint(5, 40)]
+        made.append((i, " ".join(text)))
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = anchors.op10(spark, str(tmp_path))
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(made)
+
+
 def test_word_hashes():
     raw = np.frombuffer("a bb  a\tbb ccc".encode(), np.uint8)
     starts, ends, row = words.spans(raw, np.array([0, 4, 4, len(raw)]))
@@ -208,14 +279,17 @@ def test_word_hashes():
 # ---- near duplicates
 
 
-def brute_classes(rows_, idf):
-    vec = {}
-    for i, t in rows_:
-        if t and t.split() and i != exchange.NO_ID:
-            raw = np.frombuffer(t.encode(), np.uint8)
-            vec.setdefault((i, t), Counter(weighted_minhash.shingles(raw, np.array([0, len(raw)]))[0].tolist()))
+def own_shingles(text):
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return Counter(weighted_minhash.shingles(raw, np.array([0, len(raw)]))[0].tolist())
+
+
+def brute_components(rows_):
+    """Sets of (doc_id, words) that links join."""
+    n = Counter(h for _, t in rows_ for h in own_shingles(t))
+    weight = {h: 1 + np.log((1 + len(rows_)) / (1 + k)) for h, k in n.items()}
+    vec = {(i, " ".join(t.split())): own_shingles(t) for i, t in rows_ if t and t.split() and i != exchange.NO_ID}
     keys = list(vec)
-    weight = lambda x: float(idf[weighted_minhash._cells(np.array([x], np.uint64))[0]])
     parent = {k: k for k in keys}
 
     def root(k):
@@ -227,22 +301,63 @@ def brute_classes(rows_, idf):
         for b in range(a):
             x, y = vec[keys[a]], vec[keys[b]]
             both = set(x) | set(y)
-            if sum(min(x[s], y[s]) * weight(s) for s in both) >= 0.8 * sum(max(x[s], y[s]) * weight(s) for s in both) - 1e-9:
+            if sum(min(x[s], y[s]) * weight[s] for s in both) >= 0.8 * sum(max(x[s], y[s]) * weight[s] for s in both) - 1e-9:
                 parent[root(keys[a])] = root(keys[b])
-    least = defaultdict(lambda: exchange.NO_ID)
+    sets = defaultdict(set)
     for k in keys:
-        least[root(k)] = min(least[root(k)], k[0])
-    return sorted(((None if i == exchange.NO_ID else i, least[root((i, t))] if (i, t) in parent else None if i == exchange.NO_ID else i) for i, t in rows_), key=str)
+        sets[root(k)].add(k)
+    return list(sets.values())
 
 
 def test_near_duplicates(table, empty):
-    n, f = weighted_minhash.frequencies(table)
-    assert n == table.count()
+    of = {k: min(i for i, _ in own) for own in brute_components(listed(table)) for k in own}
+    want = [(None, None) if i == exchange.NO_ID else (i, of.get((i, " ".join((t or "").split())), i)) for i, t in listed(table)]
     got = weighted_minhash.classes(clashing(table))
-    assert rows(got, "doc_id", "class_id") == brute_classes(listed(table), weighted_minhash.inverse(n, f))
+    assert rows(got, "doc_id", "class_id") == sorted(want, key=str)
     assert weighted_minhash.classes(empty).count() == 0
 
 
+def test_one_of_each_class_stays(spark, table, empty):
+    wide = clashing(table).withColumn("_node", F.lit(1))
+    kept = weighted_minhash.keep(wide)
+    assert kept.columns == wide.columns and weighted_minhash.keep(empty).count() == 0
+    sets = brute_components(listed(table))
+    stay = [(r.doc_id, " ".join(r.text.split())) for r in kept.collect() if r.doc_id is not None and r.text and r.text.split()]
+    assert len(stay) == len(set(stay)) == len(sets)
+    for own in sets:
+        assert [i for i, w in stay if (i, w) in own] == [min(i for i, _ in own)]
+    no_class = lambda rows_: sorted((i, t or "") for i, t in rows_ if i == exchange.NO_ID or not (t or "").split())
+    assert no_class(listed(kept)) == no_class(listed(table))
+
+
+def test_repeated_doc_ids_lose_no_class(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    d = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b + " x y"), (7, b), (8, None)], "doc_id long, text string")
+    assert rows(weighted_minhash.keep(d), "doc_id", "text") == sorted([(1, a), (5, b), (8, None)], key=str)
+
+
+def test_recall_at_the_threshold(spark):
+    rnd = random.Random(5)
+    made = []
+    for i in range(300):
+        text = [f"v{rnd.randrange(5000)}" for _ in range(rnd.randint(40, 300))]
+        other = list(text)
+        for _ in range(rnd.randint(1, 3) if len(text) < 120 else rnd.randint(2, 6)):
+            other[rnd.randrange(len(other))] = f"e{rnd.randrange(10**6)}"
+        made += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    n = Counter(h for _, t in made for h in own_shingles(t))
+    pairs = []
+    for (i, x), (_, y) in zip(made[::2], made[1::2]):
+        x, y = own_shingles(x), own_shingles(y)
+        w = lambda h: 1 + np.log((1 + len(made)) / (1 + n[h]))
+        if sum(min(x[h], y[h]) * w(h) for h in x) >= 0.8 * sum(max(x[h], y[h]) * w(h) for h in set(x) | set(y)):
+            pairs.append(i)
+    got = {r.doc_id: r.class_id for r in weighted_minhash.classes(d).collect()}
+    assert len(pairs) > 100 and sum(got[i + 1] == i for i in pairs) >= 0.99 * len(pairs)
+    assert all(got[i + 1] == i + 1 for i in set(range(0, 600, 2)) - set(pairs))
+
+
 def test_weights_are_of_exact_frequencies(spark):
     rng = np.random.default_rng(1)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 150)) for _ in range(300)]
@@ -255,14 +370,6 @@ def test_weights_are_of_exact_frequencies(spark):
         assert (got[i] is None and not x) or np.allclose(np.frombuffer(got[i], "<f4"), want, rtol=1e-6)
 
 
-def test_one_of_each_class_stays(table):
-    kept = weighted_minhash.keep(clashing(table))
-    assert kept.columns == clashing(table).columns
-    found = weighted_minhash.classes(table).filter("node IS NOT NULL").select("class_id").distinct().count()
-    assert kept.filter("doc_id IS NOT NULL AND trim(text) <> '' AND length(trim(regexp_replace(text, '\\\\s', ''))) > 0").select("doc_id").distinct().count() <= found + 1
-    assert kept.filter("doc_id IS NULL").count() == 2
-
-
 def test_sampling_estimates_similarity():
     rng = np.random.default_rng(0)
     h = np.sort(rng.integers(0, 2**64, 400, dtype=np.uint64))
@@ -344,6 +451,31 @@ def test_packing_conflicts(spark):
         assert max(Counter(r.text for r in own).values()) == 1 and max(Counter(r.source for r in own).values()) <= 2
 
 
+def brute_packing(rows_, capacity, same_source):
+    """doc_id and bin of each, longest first, into the fullest compatible bin of all bins."""
+    bins, out = [], []
+    for doc_id, source, length, cluster in sorted(rows_, key=lambda r: (-r[2], r[0])):
+        fit = [(capacity - b["used"], k) for k, b in enumerate(bins) if b["used"] + length <= capacity and cluster not in b["clusters"] and b["sources"][source] < same_source]
+        at = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append({"used": 0, "clusters": set(), "sources": Counter()})
+        own = bins[at]
+        out.append((doc_id, at, own["used"]))
+        own["used"] += length
+        own["clusters"].add(cluster)
+        own["sources"][source] += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    # many ties in length, a hot source, clusters of copies
+    made = [(i, "hot" if rnd.random() < 0.4 else f"s{rnd.randrange(9)}", rnd.choice([1, 2, 5, 5, 9, 14, 30]), b"%d" % rnd.randrange(60)) for i in range(250)]
+    got = packing.pack(spark.createDataFrame(made, packing.SIZED), 32, 2, 10**6).collect()
+    assert sorted((r.doc_id, r.bin, r.bin_start) for r in got) == brute_packing(made, 32, 2)
+
+
 def test_best_fit_is_tightest():
     bins = packing.Bins(10, 1)
     assert [bins.add(n, s, c)[0] for n, s, c in [(7, 0, 0), (5, 1, 1), (3, 2, 2), (3, 0, 3), (2, 2, 0)]] == [0, 1, 0, 1, 1]
