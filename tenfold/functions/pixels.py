@@ -118,7 +118,7 @@ def regions(mask: np.ndarray) -> list[dict]:
     return out
 
 
-def _shares(old: int, new: int) -> np.ndarray:
+def area_weights(old: int, new: int) -> np.ndarray:
     """How much of each old pixel a new one covers."""
     edge = np.arange(new + 1) * (old / new)
     low, high = np.maximum(edge[:-1, None], np.arange(old)), np.minimum(edge[1:, None], np.arange(old) + 1)
@@ -129,7 +129,7 @@ def _shares(old: int, new: int) -> np.ndarray:
 def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
     """Means over the area that each new pixel covers."""
     x = image.astype(np.float32)
-    down, across = _shares(x.shape[0], height), _shares(x.shape[1], width)
+    down, across = area_weights(x.shape[0], height), area_weights(x.shape[1], width)
     return np.einsum("yr,rc...,xc->yx...", down, x, across, optimize=True)
 
 
@@ -215,14 +215,12 @@ def smallest_rectangle(corners: np.ndarray) -> np.ndarray:
 
 
 def ordered(quad: np.ndarray) -> np.ndarray:
-    """Corners as top left, top right, bottom right, bottom left."""
-    q = quad[np.argsort(quad[:, 1], kind="stable")]
-    top, bottom = q[:2][np.argsort(q[:2, 0])], q[2:][np.argsort(q[2:, 0])]
-    return np.array([top[0], top[1], bottom[1], bottom[0]])
+    """Corners of a convex outline clockwise from the top left one, by their direction from its middle."""
+    z = (quad - quad.mean(axis=0)) @ np.array([1, 1j])
+    return quad[np.argsort(np.angle(z), kind="stable")]
 
 
 def skew(quad: np.ndarray) -> float:
-    """Largest angle of a side to its axis, in degrees."""
-    tl, tr, br, bl = quad
-    angle = lambda a, b: np.degrees(np.arctan2(b[1] - a[1], b[0] - a[0]))
-    return float(max(abs(angle(tl, tr)), abs(angle(bl, br)), abs(angle(tl, bl) - 90), abs(angle(tr, br) - 90)))
+    """Largest turn, in degrees, of the sides of an `ordered` outline against those of an upright rectangle."""
+    sides = (np.roll(quad, -1, axis=0) - quad) @ np.array([1, 1j])
+    return float(np.degrees(np.abs(np.angle(sides * np.array([1, -1j, -1, 1j])))).max())
