@@ -14,34 +14,11 @@ def mean_distance(a: Column, b: Column) -> Column:
     return total / F.size(a)
 
 
-def gaps(values: Column) -> Column:
-    """Differences of neighbours."""
-    return F.zip_with(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))), lambda b, a: b - a)
-
-
-def middle(values: Column) -> Column:
-    """Median of an array, null if it is empty."""
-    s, n = F.array_sort(values), F.size(values)
-    return F.when(n > 0, (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2)
-
-
-def uniform_run(centres: Column, tolerance: float = 0.25) -> Column:
-    """The longest slice of three or more positions whose gaps are within a tolerance of their median, the first on ties."""
-    n = F.size(centres)
-    starts = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))
-    spans = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(3), F.greatest(n - i, F.lit(3))), lambda k: F.struct((-k).alias("k"), i.alias("i")))))
-
-    def even(span: Column) -> Column:
-        g = gaps(F.slice(centres, span["i"] + 1, -span["k"]))
-        m = middle(g)
-        return (m > 0) & F.forall(g, lambda x: F.abs(x - m) <= tolerance * m)
-
-    best = F.array_min(F.filter(spans, lambda s: (s["i"] - s["k"] <= n) & even(s)))
-    return F.when((n >= 3) & best.isNotNull(), F.slice(centres, best["i"] + 1, -best["k"])).otherwise(F.slice(centres, 1, 0))
-
-
 def longest_uniform(x: list, tolerance: float = 0.25) -> list:
-    """`uniform_run` of a long list: a start is left as soon as its gaps are too far apart for any median, or too few are left."""
+    """The longest slice of three or more positions whose gaps are within a tolerance of their median, the first on ties.
+
+    A start is left as soon as its gaps are too far apart for any median, or too few are left.
+    """
     gaps_ = [b - a for a, b in zip(x, x[1:])]
     start, most = 0, 1
     for i in range(len(gaps_)):

@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 from tenfold.functions.arrays import mean_distance
 
 FARTHEST, LEAST_CONFIDENCE, UNKNOWN = 0.28, 0.35, "?"
-#: Templates up to this estimated size are broadcast; a larger bank is joined block by block.
+#: Templates up to this estimated size are broadcast; a larger bank meets the glyphs in blocks of about that size.
 BROADCAST = 64 << 20
 
 
-def nearest(glyphs: DataFrame, bank: DataFrame, farthest: float | None = FARTHEST) -> DataFrame:
+def _pairs(glyphs: DataFrame, bank: DataFrame, most: int) -> DataFrame:
+    """Each glyph with each template: the bank broadcast if it is small, else blocks of glyphs with blocks of templates, which a join by block deals to tasks."""
+    size = int(str(bank._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # Catalyst knows none
+        size = bank.agg(F.sum(F.size("template") * 4).cast("long")).first()[0] or 0
+    if size <= most:
+        return glyphs.crossJoin(F.broadcast(bank))
+    blocks, parts = -(-size // most), int(glyphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    some = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    g = glyphs.withColumn("_g", some("glyph_id", parts)).withColumn("_b", each(blocks))
+    b = bank.withColumn("_b", some("template_id", blocks)).withColumn("_g", each(parts))
+    return g.join(b, ["_g", "_b"])
+
+
+def nearest(glyphs: DataFrame, bank: DataFrame, farthest: float | None = FARTHEST, most: int = BROADCAST) -> DataFrame:
     """glyph_id, label, confidence, distance from glyphs (glyph_id, vec) and a bank (template_id, label, vec).
 
     Distance is the mean absolute difference; the nearest template wins, the smallest template_id on
@@ -20,9 +35,7 @@ def nearest(glyphs: DataFrame, bank: DataFrame, farthest: float | None = FARTHES
     without another label that distance is 1.  Beyond `farthest` the label is "?" with confidence 0.
     """
     bank = bank.select("template_id", "label", F.col("vec").alias("template"))
-    small = int(str(bank._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST
-    pairs = glyphs.select("glyph_id", "vec").crossJoin(F.broadcast(bank) if small else bank)
-    pairs = pairs.select("glyph_id", "label", "template_id", mean_distance(F.col("vec"), F.col("template")).alias("d"))
+    pairs = _pairs(glyphs.select("glyph_id", "vec"), bank, most).select("glyph_id", "label", "template_id", mean_distance(F.col("vec"), F.col("template")).alias("d"))
     by_label = pairs.groupBy("glyph_id", "label").agg(F.min(F.struct("d", "template_id")).alias("m"))
     rank = Window.partitionBy("glyph_id").orderBy("m")
     r = by_label.withColumn("_other", F.coalesce(F.lead("m.d").over(rank), F.lit(1.0))).withColumn("_n", F.row_number().over(rank)).filter("_n = 1")

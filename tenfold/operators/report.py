@@ -28,21 +28,25 @@ def write_csv(players: DataFrame, label: str, path: str) -> None:
     flat(players, label).write.option("header", True).option("emptyValue", "").mode("overwrite").csv(path)
 
 
-def nested(players: DataFrame, label: str) -> DataFrame:
-    """initial and json: each player's frames, totals and checks, nulls written out."""
+def body(label: str):
+    """A player's initial, frames, totals and checks as one struct."""
     frame = lambda f: F.struct(
         f["frame"].alias("frame"), f["text"].alias("throws"), f["rolls"].alias("rolls"), f["split"].alias("split"), f["complete"].alias("complete"),
         f["frame_score"].alias("frame_score"), f["cumulative"].alias("running_total"), f["printed"].alias("printed_total"),
     )
-    body = F.struct(
+    return F.struct(
         F.col(label).cast("string").alias("initial"), F.transform("frames", frame).alias("frames"), F.col("total").alias("total_settled"), F.col("provisional_total").alias("total_shown"),
         F.col("printed_total").alias("total_printed"), F.col("total_agrees"), F.col("mismatched_frames"), F.col("repaired_frames"), F.round("agreement", 4).alias("frame_agreement"),
     )
-    return players.select(F.col(label).cast("string").alias("initial"), F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def document(video: DataFrame, quality: DataFrame, players: DataFrame, transitions: DataFrame, titles: DataFrame, label: str) -> DataFrame:
-    """One row, json: source, scoreboard, quality and timeline.
+def nested(players: DataFrame, label: str) -> DataFrame:
+    """initial and json: each player's `body`, nulls written out."""
+    return players.select(F.col(label).cast("string").alias("initial"), F.to_json(body(label), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def document(video: DataFrame, quality: DataFrame, players: DataFrame, transitions: DataFrame, titles: DataFrame, label: str, order: str | None = None) -> DataFrame:
+    """One row, json: source, scoreboard, quality and timeline; players by `order`, by default their label.
 
     video has file, width, height, fps and n_frames; titles lane and bowler.  A board has four
     players and a bounded timeline, so one row holds them.
@@ -51,7 +55,7 @@ def document(video: DataFrame, quality: DataFrame, players: DataFrame, transitio
         "file", F.format_string("%dx%d", "width", "height").alias("resolution"), F.round("fps", 3).alias("fps"), F.col("n_frames").alias("frames"),
         F.coalesce(seconds(F.col("n_frames"), F.col("fps")), F.lit(0.0)).alias("duration_s"),
     ).alias("source"), F.col("fps").alias("_fps"))
-    people = nested(players, label).agg(F.array_sort(F.collect_list(F.struct("initial", "json"))).alias("_p")).select(F.transform("_p", lambda p: F.parse_json(p["json"])).alias("players"))
+    people = players.agg(F.array_sort(F.collect_list(F.struct(F.col(order or label).alias("at"), body(label).alias("player")))).alias("_p")).select(F.transform("_p", lambda p: p["player"]).alias("players"))
     board = titles.crossJoin(people).select(F.struct("lane", F.col("bowler").alias("bowler_up"), "players").alias("scoreboard"))
     figures = quality.select(F.struct(
         F.col("frames_total").alias("frames_sampled"), F.col("frames_with_board").alias("frames_with_scoreboard"), F.round("detection_rate", 4).alias("detection_rate"),
@@ -82,12 +86,12 @@ def text_rows(players: DataFrame, label: str) -> DataFrame:
     return players.select(F.col(label).alias("player"), first.alias("throws_line"), second.alias("totals_line"))
 
 
-def text_table(players: DataFrame, label: str, lane: str = "", bowler: str = "") -> str:
-    """The board as fixed-width text; a board has a handful of rows."""
+def text_table(players: DataFrame, label: str, lane: str = "", bowler: str = "", order: str | None = None) -> str:
+    """The board as fixed-width text, players by `order`; a board has a handful of rows."""
     head = "     |" + "|".join(str(i).center(CELL) for i in range(1, FRAMES + 1)) + "|" + "TTL".center(CELL)
     rule = "-" * len(head)
     lines = [f"Lane {lane or '?'}".ljust(12) + f"Now bowling: {bowler or '?'}", rule, head, rule]
-    for r in text_rows(players, label).orderBy("player").collect():
+    for r in text_rows(players.orderBy(order or label), label).collect():
         lines += [r.throws_line, r.totals_line, rule]
     return "\n".join(lines)
 

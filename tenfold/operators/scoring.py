@@ -50,18 +50,23 @@ def score(frames: DataFrame, keys: list[str], strict_bonus: bool = False) -> Dat
     return s.withColumn("cumulative", F.when(settled, F.sum("_points").over(so_far).cast("int"))).drop("ahead", "blocked", "_points")
 
 
-def totals(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """total and provisional_total of each game: the last settled sum, and with the pins of an open frame in play."""
+def _sums() -> list[Column]:
+    """The last settled sum of a game's frames, and the pins of an open frame in play."""
     open_ = F.col("cumulative").isNull() & F.col("played")
     pins = F.aggregate("rolls", F.lit(0), lambda a, x: a + x)
     first, second = F.get("rolls", F.lit(0)), F.get("rolls", F.lit(1))
     credit = F.when((first == 10) | F.coalesce(first + second == 10, F.lit(False)), 0).otherwise(pins)
-    t = scored.groupBy(*keys).agg(
-        F.max_by("cumulative", F.when(F.col("cumulative").isNotNull(), F.col("frame"))).alias("total"),
-        F.min_by(credit, F.when(open_, F.col("frame"))).alias("_more"),
-    )
+    return [F.max_by("cumulative", F.when(F.col("cumulative").isNotNull(), F.col("frame"))).alias("total"), F.min_by(credit, F.when(open_, F.col("frame"))).alias("_more")]
+
+
+def _with_shown(sums: DataFrame) -> DataFrame:
     base = F.coalesce("total", F.lit(0)) + F.coalesce("_more", F.lit(0))
-    return t.withColumn("provisional_total", F.when(F.col("total").isNotNull() | (base != 0), base)).drop("_more")
+    return sums.withColumn("provisional_total", F.when(F.col("total").isNotNull() | (base != 0), base)).drop("_more")
+
+
+def totals(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """total and provisional_total of each game: the last settled sum, and with the pins of an open frame in play."""
+    return _with_shown(scored.groupBy(*keys).agg(*_sums()))
 
 
 def cross_check(scored: DataFrame, repair: bool = True) -> DataFrame:
@@ -73,24 +78,24 @@ def cross_check(scored: DataFrame, repair: bool = True) -> DataFrame:
     return c.withColumn("printed", F.when(F.col("repaired"), F.col("cumulative")).otherwise(F.col("printed")))
 
 
-def players(frames: DataFrame, keys: list[str], repair: bool = True, strict_bonus: bool = False) -> DataFrame:
-    """A row a game from frame, text, printed and printed_total: nested frames, totals, mismatches and agreement.
-
-    printed_total (of any of a game's rows) is compared with the provisional total and never repaired.
-    """
-    checked = cross_check(score(parse(frames), keys, strict_bonus), repair)
+def player_rows(scored: DataFrame, keys: list[str], repair: bool = True) -> DataFrame:
+    """A row a game from scored frames with printed totals: nested frames, totals, mismatches and agreement, in one aggregation."""
+    checked = cross_check(scored, repair)
     frame = F.struct("frame", "text", "rolls", "split", "complete", "readable", "frame_score", "cumulative", "printed", "printed_raw")
-    which = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c), F.col("frame")))), lambda x: x)
-    p = checked.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(frame)).alias("frames"),
-        F.max("printed_total").alias("printed_total"),
-        F.sum(F.col("checked").cast("int")).alias("checked"),
-        which("mismatched").alias("mismatched_frames"),
-        which("repaired").alias("repaired_frames"),
-    )
-    p = p.join(totals(checked, keys), keys)
-    p = p.withColumn("computed_total", F.col("provisional_total")).withColumn("total_agrees", F.col("printed_total") == F.col("provisional_total"))
-    return p.withColumn("agreement", throws.agreement(F.col("checked"), F.size("mismatched_frames")))
+    which = lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.col("frame")))).alias(f"{c}_frames")
+    kept = [F.max("printed_total").alias("printed_total")] if "printed_total" in scored.columns else []
+    p = checked.groupBy(*keys).agg(F.array_sort(F.collect_list(frame)).alias("frames"), *kept, F.sum(F.col("checked").cast("int")).alias("checked"), which("mismatched"), which("repaired"), *_sums())
+    return _with_shown(p).withColumn("agreement", throws.agreement(F.col("checked"), F.size("mismatched_frames")))
+
+
+def agreed(players: DataFrame) -> DataFrame:
+    """Adds computed_total, and whether printed_total, never repaired, is that; null where either is missing."""
+    return players.withColumn("computed_total", F.col("provisional_total")).withColumn("total_agrees", F.col("printed_total") == F.col("provisional_total"))
+
+
+def players(frames: DataFrame, keys: list[str], repair: bool = True, strict_bonus: bool = False) -> DataFrame:
+    """`player_rows`, `agreed`, from frame, text, printed and printed_total (of any of a game's rows)."""
+    return agreed(player_rows(score(parse(frames), keys, strict_bonus), keys, repair))
 
 
 def scaffold(readings: DataFrame, players: int = 4, board: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenfold.functions import throws as T
-from tenfold.functions.arrays import longest_uniform, uniform_run
+from tenfold.functions.arrays import longest_uniform
 from tenfold.operators import calibrate, fusion, geometry, matching, report, scoring
 from tenfold.sources import derived
 from tenfold.sources.derived import KEYS, table
@@ -222,22 +222,13 @@ def player_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Games with printed totals that are off where printed_off says, and row totals off by user_id % 2."""
-    scored = _scored(spark, sf_dir)
-    total = scoring.totals(scored, KEYS).select(*KEYS, (F.col("provisional_total") + F.col("user_id") % 2).alias("printed_total"))
-    frames = scored.select(*KEYS, "frame", "text", (F.col("cumulative") + F.col("printed_off")).alias("printed")).join(total, KEYS)
-    return scoring.players(frames, KEYS)
-
-
-@query(f"WITH {GAMES}, s AS (SELECT p.id::INT AS player, f.id::INT AS frame FROM range(4) p(id), range(1, 11) f(id)), m AS (SELECT * FROM g WHERE game = 0 AND user_id < 4 AND frame <= 7) SELECT player, s.frame, coalesce(text, '') AS throws, '' AS score FROM s LEFT JOIN m ON m.user_id = player AND m.frame = s.frame")
-def scaffold_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings of some cells on the grid of all cells of a board."""
-    g = _throws(spark, sf_dir).filter("game = 0 AND user_id < 4 AND frame <= 7")
-    return scoring.scaffold(g.select(F.format_string("p%d.f%d.throws", "user_id", "frame").alias("key"), "text"))
+    scored = _scored(spark, sf_dir).withColumn("printed", F.col("cumulative") + F.col("printed_off"))
+    return scoring.agreed(scoring.player_rows(scored, KEYS).withColumn("printed_total", F.col("provisional_total") + F.col("user_id") % 2))
 
 
 @query(f"""WITH {GAMES}, c AS (SELECT DISTINCT user_id // 4 AS board, game FROM g), s AS (SELECT c.*, p.id::INT AS player, f.id::INT AS frame FROM c, range(4) p(id), range(1, 11) f(id))
 SELECT s.board, s.game, player, s.frame, coalesce(text, '') AS throws, '' AS score FROM s LEFT JOIN g ON g.user_id // 4 = s.board AND g.user_id % 4 = player AND g.game = s.game AND g.frame = s.frame""")
-def scaffold_all_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scaffold_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All readings on the grids of all cells: a board for each game of four users."""
     g = _throws(spark, sf_dir).withColumn("board", F.floor(F.col("user_id") / 4).cast("long"))
     readings = g.select("board", "game", F.format_string("p%d.f%d.throws", F.col("user_id") % 4, "frame").alias("key"), "text")
@@ -390,22 +381,13 @@ def median_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.median_gap(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey")
 
 
-@query("""WITH c AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS x FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 10 GROUP BY o_custkey),
+@query("""WITH c AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS x FROM orders GROUP BY o_custkey),
 i AS (SELECT o_custkey, x, unnest(range(1, len(x) + 1)) AS i FROM c), k AS (SELECT *, unnest(range(3, len(x) - i + 2)) AS k FROM i),
 s AS (SELECT *, list_transform(range(i + 1, i + k), lambda j: x[j] - x[j - 1]) AS g FROM k), m AS (SELECT *, list_median(g) AS m FROM s),
 e AS (SELECT * FROM m WHERE m > 0 AND len(list_filter(g, lambda v: abs(v - m) > 0.25 * m)) = 0), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY k DESC, i) AS n FROM e)
 SELECT c.o_custkey, coalesce(array_to_string(r.x[r.i:r.i + r.k - 1], ','), '') AS run FROM c LEFT JOIN r ON c.o_custkey = r.o_custkey AND n = 1""")
 def uniform_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest evenly spaced run among each customer's first ten order keys."""
-    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    first = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("n", F.row_number().over(by)).filter("n <= 10")
-    c = first.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("x"))
-    return c.select("o_custkey", F.array_join(uniform_run(F.col("x")).cast("array<string>"), ",").alias("run"))
-
-
-@query(None)
-def uniform_runs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest evenly spaced run among all of each customer's order keys; the SQL of uniform_runs tries all spans of ten, so no SQL is given."""
+    """Longest evenly spaced run among each customer's order keys."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -504,13 +486,26 @@ def _labelled_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _players(spark, sf_dir).withColumn("label", F.concat_ws(".", "user_id", "game"))
 
 
-@query(None)
+_BODY = f"""WITH {TOTALS}, w AS (SELECT user_id, game, list({{'frame': frame, 'throws': text, 'rolls': rolls, 'split': split, 'complete': complete, 'frame_score': frame_score, 'running_total': cumulative, 'printed_total': cumulative}} ORDER BY frame) AS frames,
+  coalesce(list(frame ORDER BY frame) FILTER (printed_off <> 0 AND cumulative IS NOT NULL), []) AS wrong, count(*) FILTER (cumulative IS NOT NULL) AS checked FROM f GROUP BY user_id, game)
+SELECT user_id::VARCHAR || '.' || game AS initial, to_json({{'initial': user_id::VARCHAR || '.' || game, 'frames': frames, 'total_settled': total, 'total_shown': provisional_total, 'total_printed': provisional_total + user_id % 2,
+  'total_agrees': provisional_total + user_id % 2 = provisional_total, 'mismatched_frames': wrong, 'repaired_frames': wrong, 'frame_agreement': round(coalesce((checked - len(wrong))::DOUBLE / nullif(checked, 0), 1.0), 4)}})::VARCHAR AS json FROM w JOIN v USING (user_id, game)"""
+
+
+@query(_BODY)
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested report of each player."""
     return report.nested(_labelled_players(spark, sf_dir), "label")
 
 
-@query(None)
+def _centre(text: str) -> str:
+    return f"(repeat(' ', (7 - length({text})) // 2 + (7 - length({text})) % 2) || {text} || repeat(' ', (7 - length({text})) // 2))"
+
+
+@query(f"""WITH {TOTALS}, m AS (SELECT *, regexp_replace(text, '([0-9])o', '(\\1)', 'g') AS marks, coalesce(cumulative::VARCHAR, '') AS n FROM f),
+w AS (SELECT user_id, game, string_agg({_centre("marks")}, '|' ORDER BY frame) AS one, string_agg({_centre("n")}, '|' ORDER BY frame) AS two FROM m GROUP BY user_id, game),
+lines AS (SELECT *, user_id::VARCHAR || '.' || game AS player, coalesce(provisional_total::VARCHAR, '') AS shown FROM w JOIN v USING (user_id, game))
+SELECT player, ' ' || rpad(player, 3, ' ') || ' |' || one || '|' || {_centre("shown")} AS throws_line, '     |' || two || '|       ' AS totals_line FROM lines""")
 def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two text lines of each player."""
     return report.text_rows(_labelled_players(spark, sf_dir), "label")

@@ -9,9 +9,27 @@ from tenfold.functions.throws import seconds
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """frame_index and image (BGR bytes) of image files; the number in a file's name is its frame."""
-    f = spark.read.format("image").load(path)
-    return f.select(F.regexp_extract("image.origin", r"(\d+)\.[^./]+$", 1).cast("int").alias("frame_index"), "image").filter("frame_index IS NOT NULL")
+    """frame_index and image (BGR bytes) of image files; the number in a file's name is its frame.
+
+    FileNotFoundError if there is no such path, ValueError if it holds no image that can be read.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        f = spark.read.format("image").option("dropInvalid", True).load(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no frames at {path}") from e
+    found = f.select(F.regexp_extract("image.origin", r"(\d+)\.[^./]+$", 1).cast("int").alias("frame_index"), "image").filter("frame_index IS NOT NULL")
+    if found.isEmpty():
+        raise ValueError(f"no readable frame at {path}")
+    return found
+
+
+def described(frames: DataFrame, path: str, fps: float) -> DataFrame:
+    """file, width, height, fps, n_frames and duration_s of a table of frames; sizes are those of its first frame."""
+    size = frames.agg(F.min_by(F.struct("image.width", "image.height"), "frame_index").alias("s"))
+    p = probed(frames, "frame_index", path, fps)
+    return p.crossJoin(size).select(F.regexp_extract("path", "([^/]+)/*$", 1).alias("file"), "s.width", "s.height", "fps", "n_frames", "duration_s")
 
 
 def probed(frames: DataFrame, index: str, path: str, fps: float) -> DataFrame:
