@@ -164,7 +164,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
+    """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space; a null text has none."""
     found = _found(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.regexp_replace(F.coalesce(F.col("kept").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
     return found.select("doc_id", F.col("n").alias("n_words"), "n_removed", F.sha2(F.trim(kept), 256).alias("kept_sha256"))

@@ -213,4 +213,5 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from each document's AVI file; a null text is one of no bytes, an empty table gives no rows."""
     return digests(store(common.table(spark, sf_dir, "documents")))

@@ -186,6 +186,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, rows: int = ROWS, que
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every query among all embeddings."""
     return top_k(common.table(spark, sf_dir, "embeddings"))
 
 

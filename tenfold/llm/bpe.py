@@ -161,7 +161,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and, of the bytes decoded from those ids, decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256 and, of the bytes decoded from those ids, decoded_sha256; null texts are empty, null and repeated doc_ids stay."""
     decimal = [b"%d" % i for i in range(max(byte_pairs(path).of) + 1)]
 
     def digest(ids: np.ndarray, pairs: BytePairs) -> tuple[int, str, str]:
@@ -174,4 +174,5 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`digests` of every document by the public vocabulary of 50,000 entries."""
     return digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -69,7 +69,10 @@ PACKED = "doc_id long, piece long, bin long, bin_start long, length long"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, length (words and an end mark) and cluster (a hash of the words in lower case)."""
+    """doc_id, source, length (words and an end mark) and cluster (a hash of the words in lower case).
+
+    Null and empty texts are an end mark alone, all of one cluster.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,6 +90,12 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("source")).mapInArrow(rows, SIZED)
 
 
+def clustered(sizes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of `sized` whose clusters are those of near copies: `classes` has doc_id and class_id, one row a doc_id; others keep theirs."""
+    of = classes.select("doc_id", F.concat(F.lit("class "), F.col("class_id").cast("string")).cast("binary").alias("_class"))
+    return sizes.join(of, "doc_id", "left").withColumn("cluster", F.coalesce("_class", "cluster")).select("doc_id", "source", "length", "cluster")
+
+
 def pack(sizes: DataFrame, capacity: int = CAPACITY, same_source: int = SAME_SOURCE, shard: int = SHARD) -> DataFrame:
     """doc_id, piece, bin, bin_start and length: where each piece of each row of `sized` goes.
 
@@ -118,4 +127,5 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, same_source: int = SAME_SOU
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of every document goes."""
     return pack(sized(common.table(spark, sf_dir, "documents")))

@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -282,10 +282,9 @@ def joined_crc(first: int, second: int, length: int) -> int:
 def documents(shares: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each text in the files."""
     shares = common.written(shares, "token-shares")
-    blocks = shares.groupBy("part", "block").agg(F.sum("n").alias("n"))
-    parts = sorted((r.part, r.n) for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    before = np.cumsum([0, *(n for _, n in parts)])
-    base = shares.sparkSession.createDataFrame([(p, int(b)) for (p, _), b in zip(parts, before)], "part long, base long")
+    # one row a part, so one task can add them up however large the files are
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = shares.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
 
     def rows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found: list[list] = []
@@ -299,10 +298,11 @@ def documents(shares: DataFrame) -> DataFrame:
             total += r["n"]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shares.join(F.broadcast(base), "part").groupBy("part").applyInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shares.join(base, "part").groupBy("part").applyInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, as read back from the files."""
     folder = common.new_path(spark, "token-ids")
     write(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, folder)
     return documents(read(spark, folder))

@@ -424,6 +424,38 @@ def test_memory_changes_nothing():
         assert few.encode([t, "b"])[0].tolist() == ref.encode_ordinary(t)
 
 
+# ---- long texts
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    """Two texts of 300 KB that share a third, in lines, one of a single word, and a short one."""
+    rnd = random.Random(9)
+    line = lambda: " ".join(f"w{rnd.randrange(3000)}" for _ in range(12))
+    shared = [line() for _ in range(1700)]
+    one, two = ([line() for _ in range(3400)] for _ in range(2))
+    one[700:700], two[1900:1900] = shared, shared
+    return [(1, "\n".join(one), "s", "en", 0), (2, "\n".join(two), "s", "en", 0), (3, "z" * 300_000, "s", "en", 0), (4, "you idiot. " * 20_000, "s", "en", 0), (5, "a b", None, None, None)]
+
+
+def test_long_texts(spark, long_rows, tmp_path):
+    d = spark.createDataFrame(long_rows, "doc_id long, text string, source string, lang string, n_chars long")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = [(i, t) for i, t, *_ in long_rows]
+    model = toxicity.Model(toxicity.Lexicon({}), *toxicity._regression([]))
+    assert {r.doc_id for r in toxicity.score(d, model).filter("predicted = 1").collect()} == {4}
+    assert rows(lines.dedup(d), "doc_id", "text") == brute_lines(plain)
+    assert rows(anchors.op10(spark, str(tmp_path)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(plain)
+    assert rows(suffixes.op9(spark, str(tmp_path)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(plain)
+    assert rows(weighted_minhash.classes(d), "doc_id", "class_id") == [(i, i) for i in range(1, 6)]
+    got = {r.doc_id: r.n_tokens for r in bpe.digests(d, RANKS, public_tokenizers.PATTERN).collect()}
+    assert got == {i: len(reference().encode_ordinary(t)) for i, t in plain if i != 3} | {3: got[3]}
+    packed = Counter()
+    for r in packing.pack(packing.sized(d)).collect():
+        packed[r.doc_id] += r.length
+    assert packed == {i: len(t.split()) + 1 for i, t in plain}
+
+
 # ---- packing
 
 
@@ -467,6 +499,13 @@ def brute_packing(rows_, capacity, same_source):
     return sorted(out)
 
 
+def test_near_copies_as_clusters(spark):
+    d = spark.createDataFrame([(i, f"text {i}", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    classes = spark.createDataFrame([(i, 0) for i in range(4)], "doc_id long, class_id long")
+    bins = {r.doc_id: r.bin for r in packing.pack(packing.clustered(packing.sized(d), classes)).collect()}
+    assert len({bins[i] for i in range(4)}) == 4 and bins[4] == bins[5]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_against_brute_force(spark, seed):
     rnd = random.Random(seed)
@@ -487,7 +526,6 @@ def test_best_fit_is_tightest():
 
 def test_ids_in_files(spark, table, empty, tmp_path):
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     folder = f"{tmp_path}/ids"
     rans.write(clashing(table), JSON, public_tokenizers.PATTERN, folder)
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start), r) for r in rans.documents(rans.read(spark, folder)).collect())
