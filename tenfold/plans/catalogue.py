@@ -416,14 +416,14 @@ def board_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leader clusters of all vectors in order of vec_id; order decides the result, so no SQL is given."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"), F.col("label").cast("string").alias("role"))
-    return calibrate.clusters(e, radius=0.11, least=4).select("cluster_id", "count", "roles")
+    return calibrate.clusters(e, radius=0.13, least=4).select("cluster_id", "count", "roles")
 
 
 @query(None)
 def reduced_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The centroids of each label's largest clusters."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "label", F.col("embedding").alias("vec"))
-    return calibrate.reduced(e, radius=0.11)
+    return calibrate.reduced(e, radius=0.13)
 
 
 @query("SELECT label, vec_id, rank::INT AS rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY list_sum(embedding::DOUBLE[]) DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 8")

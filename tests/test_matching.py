@@ -66,6 +66,33 @@ def test_parsed_labels(spark):
     assert [(r.cluster_id, r.label) for r in calibrate.parsed_labels(raw).collect()] == [(0, "A")]
 
 
+def brute_leaders(vectors, radius, most):
+    """Members of each cluster around its first one, in order of arrival."""
+    found = []
+    for v in vectors:
+        d = [float(np.abs(own[0] - v).mean()) for own in found]
+        if d and min(d) <= radius:
+            found[d.index(min(d))].append(v)
+        elif len(found) < most:
+            found.append([v])
+    return found
+
+
+def test_leader_queries_against_brute_force(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    vectors = [np.array(r.embedding, np.float32) for r in e]
+    sizes = sorted((len(own) for own in brute_leaders(vectors, 0.13, 96) if len(own) >= 4), reverse=True)
+    got = catalogue.leader_clusters(spark, SF).orderBy("cluster_id").collect()
+    assert [r["count"] for r in got] == sizes and len(sizes) > 10
+    bank = defaultdict(list)
+    for r in catalogue.reduced_bank(spark, SF).orderBy("label", "rank").collect():
+        bank[r.label].append(r.vec)
+    for label in {r.label for r in e}:
+        own = brute_leaders([v for v, r in zip(vectors, e) if r.label == label], 0.13, len(e))
+        want = [np.mean(own[i], axis=0) for i in sorted(range(len(own)), key=lambda i: -len(own[i]))[:8]]
+        assert np.allclose(bank[str(label)], want, atol=1e-5)
+
+
 def test_labelled_by_position(spark):
     g = spark.createDataFrame([("a", 2.0, 0, [1.0]), ("a", 1.0, 1, [2.0]), ("b", 1.0, 0, [3.0])], "key string, cx double, ix int, vec array<float>")
     pairs, wrong = calibrate.labelled(g, spark.createDataFrame([("a", "8o1"), ("b", "12")], "key string, text string"), ["key"])
