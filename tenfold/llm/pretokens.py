@@ -2,16 +2,20 @@
 
 With the byte-level pattern, a space between two characters that are not white space always starts
 a new pre-token, so what stands between two such spaces is tokenised alike wherever it occurs.
-Each distinct piece is split and resolved once while it stays in memory; texts are then joined from
-the packed ids of their pieces.  Nothing depends on what is in memory but speed.
+Arrow splits the texts and reduces them to distinct pieces; each is split and resolved once while it
+stays in memory, and texts are then gathered from the ids of their pieces.  Nothing depends on what
+is in memory but speed.
 """
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Sequence
+from itertools import compress, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 IDS = np.dtype("<u4")
@@ -22,31 +26,64 @@ LONGEST = 48
 WHITE = [c for c in map(chr, range(0x10000)) if c.isspace()]
 
 Resolve = Callable[[Sequence[str]], list[bytes]]
+#: Rows of ids: all of them, and the n + 1 offsets between rows.
+Rows = tuple[np.ndarray, np.ndarray]
+
+TEXT = pa.large_string()
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _gather(rows: Rows, at: np.ndarray) -> Rows:
+    """The rows with the numbers `at`, in that order."""
+    ids, off = rows
+    sizes = off[at + 1] - off[at]
+    new = _offsets(sizes)
+    place = np.repeat(off[at] - new[:-1], sizes)
+    place += np.arange(new[-1])
+    return ids[place], new
+
+
+def _after(a: Rows, b: Rows) -> Rows:
+    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], a[1][-1] + b[1][1:]])
 
 
 class Memory:
-    """What was asked for lately: two generations of about `size` entries, the older dropped as a whole."""
-
-    def __init__(self, size: int, fill: Callable[[list[str]], list[bytes]]):
-        self.size, self.fill, self.old = size, fill, {}
-        self.now: dict[str, bytes] = {}
-        self.long: list[str] = []
-
-    def load(self, keys: set[str]) -> Callable[[str], bytes]:
-        """A lookup that holds for `keys` until the next load."""
-        for k in self.long:
-            del self.now[k]
-        if len(self.now) > self.size:
-            self.old, self.now = self.now, {}
-        unseen = keys.difference(self.now)
-        if self.old:
-            again = self.old.keys() & unseen
-            self.now.update(zip(again, map(self.old.__getitem__, again)))
-            unseen -= again
-        unseen = list(unseen)
-        self.now.update(zip(unseen, self.fill(unseen)))
-        self.long = [k for k in unseen if len(k) > LONGEST]
-        return self.now.__getitem__
+    """What was asked for lately: about `size` keys with their ids; where there are more, those not asked for longest go until half are left."""
+
+    def __init__(self, size: int, fill: Callable[[list[str]], Rows]):
+        self.size, self.fill, self.calls = size, fill, 0
+        self.at: dict[str, int] = {}  # a key's row; keys are in the order of their rows
+        self.used = np.zeros(0, np.int64)
+        self.rows: Rows = np.zeros(0, IDS), np.zeros(1, np.int64)
+
+    def ids(self, keys: list[str]) -> Rows:
+        """The ids of each key; a key may repeat."""
+        self.calls += 1
+        known = len(self.at)
+        at = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+        asked = np.flatnonzero(at < 0)
+        first = dict.fromkeys(map(keys.__getitem__, asked.tolist()))
+        long = [k for k in first if len(k) > LONGEST]
+        unseen = [k for k in first if len(k) <= LONGEST] + long if long else list(first)
+        self.at.update(zip(unseen, range(known, known + len(unseen))))
+        self.rows = _after(self.rows, self.fill(unseen))
+        at[asked] = known + np.arange(len(asked)) if len(asked) == len(unseen) and not long else [self.at[keys[i]] for i in asked.tolist()]
+        found = _gather(self.rows, at)
+        for k in long:
+            del self.at[k]
+        n, (ids, off) = len(self.at), self.rows
+        self.rows = ids[: off[n]], off[: n + 1]
+        self.used = np.concatenate([self.used, np.zeros(n - known, np.int64)])
+        self.used[at[at < n]] = self.calls
+        if n > self.size:
+            half = max(1, self.size // 2)
+            latest = self.used >= np.partition(self.used, n - half)[n - half]
+            self.at = {k: i for i, k in enumerate(compress(self.at, latest))}
+            self.rows, self.used = _gather(self.rows, np.flatnonzero(latest)), self.used[latest]
+        return found
 
 
 def _regular(text: str) -> bool:
@@ -60,25 +97,27 @@ def _regular(text: str) -> bool:
 class Encoder:
     """Texts to ids; `resolve` gives the packed ids of distinct pre-tokens."""
 
-    def __init__(self, pattern: str, resolve: Resolve, pieces: int = 250_000, tokens: int = 400_000):
-        self.split = regex.compile(pattern).findall
-        self.tokens = Memory(tokens, resolve)
-        self.pieces = Memory(pieces, self._fill)
+    def __init__(self, pattern: str, resolve: Resolve, pieces: int = 400_000, tokens: int = 600_000):
+        self.split, self.resolve = regex.compile(pattern).findall, resolve
+        self.tokens, self.pieces = Memory(tokens, self._resolved), Memory(pieces, self._split)
+
+    def _resolved(self, tokens: list[str]) -> Rows:
+        packed = self.resolve(tokens)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // IDS.itemsize
+        return np.frombuffer(b"".join(packed), IDS), _offsets(sizes)
 
-    def _fill(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of pieces, each with one space before it."""
+    def _split(self, pieces: list[str]) -> Rows:
+        """The ids of pieces, each with one space before it."""
         if not pieces:
-            return []
+            return np.zeros(0, IDS), np.zeros(1, np.int64)
         flat = self.split(" " + " ".join(pieces))
-        ids = list(map(self.tokens.load(set(flat)), flat))
-        starts = [i for i, t in enumerate(flat) if t[0] == " "]
-        starts.append(len(flat))
-        return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(starts, starts[1:])]
+        ids, off = self.tokens.ids(flat)
+        return ids, off[[*(i for i, t in enumerate(flat) if t[0] == " "), len(flat)]]
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text."""
         collecting = gc.isenabled()
-        gc.disable()  # millions of small lists, none in a cycle
+        gc.disable()  # many small lists, none in a cycle
         try:
             return self._encoded(texts)
         finally:
@@ -86,10 +125,26 @@ class Encoder:
                 gc.enable()
 
     def _encoded(self, texts: Sequence[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
-        regular = list(map(_regular, texts))
-        lookup = self.pieces.load(set().union(*(s[1:] for s, r in zip(split, regular) if r)))
-        joined = [b"".join(map(lookup, s[1:])) if r else b"" for s, r in zip(split, regular)]
-        heads = [self.split(s[0] if r else t) for t, s, r in zip(texts, split, regular)]
-        token = self.tokens.load(set().union(*heads))
-        return [np.frombuffer(b"".join(map(token, h)) + j, IDS) for h, j in zip(heads, joined)]
+        n = len(texts)
+        if not n:
+            return []
+        regular = np.fromiter(map(_regular, texts), bool, n)
+        split = pc.split_pattern(pa.array(texts, TEXT), " ")
+        off = split.offsets.to_numpy().astype(np.int64)
+        more = np.where(regular, np.diff(off) - 1, 0)  # pieces after the first, which has no space before it
+        after = np.repeat(regular, np.diff(off))
+        after[off[:-1]] = False
+        pieces = split.flatten().filter(pa.array(after))
+        heads = [self.split(t.split(" ", 1)[0] if r else t) for t, r in zip(texts, regular)]
+        ids, starts = self.tokens.ids([t for h in heads for t in h])
+        head = ids, starts[_offsets(np.fromiter(map(len, heads), np.int64, n))]
+        coded = pieces.dictionary_encode()
+        rows = _after(self.pieces.ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), head)
+        place = np.arange(n) + np.cumsum(more) - more
+        order = np.empty(n + len(pieces), np.int64)
+        rest = np.ones(len(order), bool)
+        rest[place] = False
+        order[place], order[rest] = len(coded.dictionary) + np.arange(n), coded.indices.to_numpy()
+        ids, off = _gather(rows, order)
+        ends = np.append(off[place[1:]], off[-1])
+        return [ids[a:b] for a, b in zip(off[place], ends)]

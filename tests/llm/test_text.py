@@ -418,7 +418,7 @@ def test_perfect_hash():
 
 
 def test_memory_changes_nothing():
-    few = bpe.Encoder(public_tokenizers.PATTERN, bpe.encoder(RANKS, public_tokenizers.PATTERN).tokens.fill, 5, 5)
+    few = bpe.Encoder(public_tokenizers.PATTERN, bpe.encoder(RANKS, public_tokenizers.PATTERN).resolve, 5, 5)
     ref = reference()
     for t in ["a b c d e f g h", "h g f e d c b a it's", "x" * 200 + " b c", "a\n b", " lead", "trail ", "two  gaps", "a  b"] * 2:
         assert few.encode([t, "b"])[0].tolist() == ref.encode_ordinary(t)
