@@ -62,9 +62,20 @@ def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(rows)
 
 
+def _stable(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 on; those of 16 bits are sorted by radix."""
+    return np.argsort(x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x, kind="stable")
+
+
+def _order(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Order by `of`, then hash."""
+    order = np.argsort(h)
+    return order[_stable(of[order])]
+
+
 def counted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text, by text, then hash: hashes, texts and counts."""
-    order = np.lexsort([h, row])
+    order = _order(h, row)
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
@@ -79,31 +90,32 @@ def inverse(n: int, frequency: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(1)
 def _random(places: int) -> tuple[np.ndarray, ...]:
-    """For each row of random numbers and place: r ~ Gamma(2, 1), 1 / r, b ~ U(0, 1) and ln c - r with c ~ Gamma(2, 1)."""
+    """For each row of random numbers and place: r ~ Gamma(2, 1), 1 / r, b ~ U(0, 1) and ln c - r + r b with c ~ Gamma(2, 1)."""
     rng = np.random.Generator(np.random.PCG64(20260101))
     r = rng.gamma(2.0, 1.0, (RANDOM, places)).astype(np.float32)
     b = rng.random((RANDOM, places), np.float32)
     c = np.log(rng.gamma(2.0, 1.0, (RANDOM, places))).astype(np.float32)
-    return r, 1 / r, b, c - r
+    return r, 1 / r, b, c - r + r * b
 
 
 def sampled(h: np.ndarray, weight: np.ndarray, places: int) -> np.ndarray:
     """A hash of the (shingle, quantised weight) drawn for each place; shingles in ascending order of hash."""
     r, inverse_r, b, c = _random(places)
-    least, drawn = np.full(places, np.inf, np.float32), np.zeros(places, np.uint64)
+    least, drawn, place = np.full(places, np.inf, np.float32), np.zeros(places, np.uint64), np.arange(places)
     for a in range(0, len(h), 4096):
-        part = h[a : a + 4096]
+        part, log = h[a : a + 4096], np.log(weight[a : a + 4096])
         at = (part >> np.uint64(20)).astype(np.int64) % RANDOM
-        shift = b[at]
-        t = np.log(weight[a : a + 4096])[:, None] * inverse_r[at]
-        t += shift
+        t = inverse_r.take(at, axis=0)
+        t *= log[:, None]
+        t += b.take(at, axis=0)
         np.floor(t, out=t)
-        shift -= t  # b - t
-        shift *= r[at]
-        shift += c[at]  # ln c - r - r (t - b)
-        best = shift.argmin(axis=0)
-        low = shift[best, np.arange(places)]
-        key = common.mix(part[best] + (t[best, np.arange(places)].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        t *= r.take(at, axis=0)
+        left = c.take(at, axis=0)
+        left -= t  # ln c - r - r (t - b)
+        best = left.argmin(axis=0)
+        low, row = left[best, place], at[best]
+        level = np.floor(inverse_r[row, place] * log[best] + b[row, place]).astype(np.int64)
+        key = common.mix(part[best] + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         closer = low < least
         least, drawn = np.where(closer, low, least), np.where(closer, key, drawn)
     return drawn
@@ -115,12 +127,22 @@ KEY = np.dtype([("low", "<u4"), ("high", "<u2")])
 PACKED = "b int, g int, keys binary, n binary"
 
 
-def _distinct(group: exchange.Group, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of a group in ascending order, the texts that hold each, their buckets, and their order by bucket."""
-    found = [counted(*shingles(raw, off))[0] for _, _, raw, off in group.slices(AT_ONCE)]
-    h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+#: Bytes, offsets, first row and distinct shingles (as in `counted`) of a run of a group's rows.
+Part = tuple[np.ndarray, np.ndarray, int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _parts(group: exchange.Group) -> list[Part]:
+    return [(raw, off, a, counted(*shingles(raw, off))) for a, _, raw, off in group.slices(AT_ONCE)]
+
+
+def _hashes(parts: list[Part]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(found[0] for *_, found in parts)])
+
+
+def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each distinct shingle, these in ascending order, and their order by bucket."""
     bucket = ((h >> np.uint64(44)) % np.uint64(buckets)).astype(np.int32)
-    return h, n, bucket, np.argsort(bucket, kind="stable")
+    return bucket, _stable(bucket)
 
 
 def _cuts(of: np.ndarray) -> np.ndarray:
@@ -132,7 +154,8 @@ def summed(by_group: DataFrame, size: int, buckets: int) -> DataFrame:
     """b, g and n: for each group and bucket, of how many texts the group's shingles there are, in order of hash."""
 
     def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        h, n, bucket, order = _distinct(exchange.Group(table), buckets)
+        h, n = np.unique(_hashes(_parts(exchange.Group(table))), return_counts=True)
+        bucket, order = _by_bucket(h, buckets)
         h, n, bucket = h[order], n[order].astype("<u4"), bucket[order]
         keys = np.zeros(len(h), KEY)
         keys["low"], keys["high"] = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) & np.uint64(0xFFFF)
@@ -145,7 +168,7 @@ def summed(by_group: DataFrame, size: int, buckets: int) -> DataFrame:
         n = np.concatenate([np.frombuffer(d.as_buffer(), "<u4") for d in table["n"]])
         sizes = [len(d.as_buffer()) // KEY.itemsize for d in table["keys"]]
         k = keys["low"].astype(np.uint64) | keys["high"].astype(np.uint64) << np.uint64(32)
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k)
         cut = _cuts(k[order])
         total = np.empty(len(k), "<u4")
         total[order] = np.repeat(np.add.reduceat(n[order], cut[:-1], dtype=np.int64), np.diff(cut))
@@ -166,29 +189,33 @@ def signed(docs: DataFrame, bands: int = BANDS, places: int = PLACES) -> DataFra
 
     def rows(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
         group = exchange.Group(table)
-        distinct, _, _, order = _distinct(group, buckets)
-        idf = np.empty(len(distinct), np.float32)
-        idf[order] = inverse(n_texts, np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(d.as_buffer(), "<u4") for d in found.sort_by("b")["n"])]).astype(np.int64))
-        nodes, keys, weights = [], [], []
-        for a, b, part, own in group.slices(AT_ONCE):
-            h, row, n = counted(*shingles(part, own))
-            own_idf = idf[np.searchsorted(distinct, h)]
+        parts = _parts(group)
+        h = _hashes(parts)
+        # the number of each shingle among the distinct ones of the group
+        order, number = np.argsort(h), np.empty(len(h), np.int64)
+        cut = _cuts(h[order])
+        number[order] = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        _, by_bucket = _by_bucket(h[order[cut[:-1]]], buckets)
+        idf = np.empty(len(by_bucket), np.float32)
+        idf[by_bucket] = inverse(n_texts, np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(d.as_buffer(), "<u4") for d in found.sort_by("b")["n"])]).astype(np.int64))
+        nodes, keys, weights = (np.full(group.table.num_rows, None, object) for _ in range(3))
+        at = 0
+        for raw, off, a, (h, row, n) in parts:
+            own_idf = idf[number[at : at + len(h)]]
+            at += len(h)
             weight = n.astype(np.float32) * own_idf
-            cut = np.searchsorted(row, np.arange(b - a + 1))
-            for i in range(b - a):
-                p, q = cut[i], cut[i + 1]
-                if p == q:
-                    nodes.append(None)
-                    keys.append(None)
-                    weights.append(None)
-                    continue
-                drawn = sampled(h[p:q], weight[p:q], bands * places).reshape(bands, places)
-                k = np.arange(bands, dtype=np.uint64)
-                for j in range(places):
-                    k = common.mix(k * np.uint64(0x9E3779B97F4A7C15) + drawn[:, j])
-                nodes.append(node_of(part[own[i] : own[i + 1]].tobytes()))
-                keys.append(k.astype(np.int64))
-                weights.append(own_idf[p:q].astype("<f4").tobytes())
+            cut = _cuts(row)
+            worded = row[cut[:-1]]
+            drawn = np.zeros((len(worded), bands, places), np.uint64)
+            for i, p, q in zip(range(len(worded)), cut, cut[1:]):
+                drawn[i] = sampled(h[p:q], weight[p:q], bands * places).reshape(bands, places)
+            k = np.arange(bands, dtype=np.uint64)
+            for j in range(places):
+                k = common.mix(k * np.uint64(0x9E3779B97F4A7C15) + drawn[:, :, j])
+            for i, p, q, own in zip(worded, cut, cut[1:], k.astype(np.int64)):
+                nodes[a + i] = node_of(raw[off[i] : off[i + 1]].tobytes())
+                keys[a + i] = own
+                weights[a + i] = own_idf[p:q].astype("<f4").tobytes()
         return pa.Table.from_arrays([group.table["doc_id"], pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(weights, pa.binary())], names=["doc_id", "node", "bands", "idf"])
 
     return by_group.groupBy("g").cogroup(summed(by_group, size, buckets).groupBy("g")).applyInArrow(rows, SIGNED)
@@ -213,7 +240,7 @@ def similarities(a: pa.Array, b: pa.Array, idf_a: pa.Array, idf_b: pa.Array) ->
         h, row, count = counted(np.concatenate([p[0] for p in parts]), np.concatenate([parts[0][1], parts[1][1] + n]))
         weight = np.concatenate([_idf(x.slice(lo, n)) for x in (idf_a, idf_b)])
         pair = row % n
-        order = np.lexsort([row, h, pair])
+        order = _order(h, pair)
         h, pair, count, weight = h[order], pair[order], count[order], weight[order]
         same = np.zeros(len(h), bool)
         same[1:] = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
