@@ -1,8 +1,7 @@
 """Connected components of a table of links, without links or components on the driver.
 
 Alternating stars: each round links every node's larger neighbours to the smallest neighbour, then
-every node's smaller neighbours, until the links no longer change and each is from a node to the
-smallest of its component.  The number of rounds grows with the logarithm of the longest path.  Each
+every node's smaller neighbours, until each link is from a node to the smallest of its component.  The number of rounds grows with the logarithm of the longest path.  Each
 round's links are a table in the shared folder, so a lost executor costs one round at most.
 """
 
@@ -14,8 +13,10 @@ from pyspark.sql import functions as F
 from tenfold.llm import common
 
 
-def _sum(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _open(links: DataFrame) -> DataFrame:
+    """Nodes with links to several smaller ones, or to a smaller and from a larger one; none if all is done."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1 AND down > 0")
 
 
 def _star(links: DataFrame, tables: common.Tables) -> DataFrame:
@@ -30,14 +31,11 @@ def components(links: DataFrame, tables: common.Tables | None = None) -> DataFra
     The result reads from `tables`, new ones by default.
     """
     tables = tables or common.Tables(links.sparkSession)
-    links = tables.write(links.select("u", "v").filter("u <> v").distinct(), "links")
-    before = None
-    while before != (now := _sum(links)):
-        before = now
-        if not now[0]:
-            break
+    links = links.select("u", "v").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    links = tables.write(links.distinct(), "links")
+    while not _open(links).isEmpty():
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(tables.write(both, "links"), tables).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _star(both, tables).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         starred = _star(tables.write(down, "links"), tables)
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v")))
