@@ -387,6 +387,19 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_components_of_random_links(spark, seed):
+    rnd = random.Random(seed)
+    links = [(rnd.randrange(120), rnd.randrange(120)) for _ in range(80)] + [(500, 501), (502, 501), (501, 503)]
+    least = {n: n for pair in links for n in pair}
+    for _ in least:
+        for u, v in links:
+            least[u] = least[v] = min(least[u], least[v])
+    got = components.components(spark.createDataFrame(links, "u long, v long")).collect()
+    linked = {n for u, v in links if u != v for n in (u, v)}
+    assert sorted((r.node, r.component) for r in got) == sorted((n, least[n]) for n in linked)
+
+
 # ---- byte pairs
 
 
