@@ -23,27 +23,35 @@ def vote(observations: DataFrame, cutoff: DataFrame, least_share: float = LEAST_
     A reading weighs 0.1 and its confidence.  A cell without a reading in the tail votes with all.
     Ties go to the text seen first in the window; where the winner's share is below `least_share`
     and there are others, the latest text wins.  The cutoff is one row, so it is broadcast.
+
+    Weights are added in order of arrival, and a cell's from the heaviest text down: in another order
+    their last digits differ, which decides between texts of equal weight.
     """
     o = observations.crossJoin(F.broadcast(cutoff)).withColumn("_in", F.col("frame_index") >= F.col("cutoff"))
-    # one shuffle by key: each text's sums over the tail and over all, the choice of window after that
+    order = Window.partitionBy("key", "text").orderBy("pos", "frame_index", "confidence")
+    far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one shuffle of readings: each text's running sums over the tail and over all, the choice of window after that
     def sums(where, suffix):
         c = lambda x: F.when(where, x)
-        return [
-            F.sum(c(F.col("confidence") + FLOOR)).alias(f"w{suffix}"),
-            F.avg(c(F.col("confidence"))).alias(f"c{suffix}"),
-            F.min(c(F.col("pos"))).alias(f"a{suffix}"),
-            F.max(c(F.col("pos"))).alias(f"z{suffix}"),
-        ]
-
-    by_text = o.groupBy("key", "text").agg(*sums(F.col("_in"), "_tail"), *sums(F.lit(True), "_all"), F.count("*").alias("n"), F.min_by("frame_index", "pos").alias("first_seen"))
+        return {
+            f"w{suffix}": F.sum(c(F.col("confidence") + FLOOR)).over(far),
+            f"c{suffix}": F.avg(c(F.col("confidence"))).over(far),
+            f"a{suffix}": F.min(c(F.col("pos"))).over(far),
+            f"z{suffix}": F.max(c(F.col("pos"))).over(far),
+        }
+
+    whole = {"n": F.count("*").over(far), "first_seen": F.first("frame_index").over(far), "_next": F.lead(F.lit(True)).over(order)}
+    by_text = o.withColumns(sums(F.col("_in"), "_tail") | sums(F.lit(True), "_all") | whole).filter(F.col("_next").isNull())
     cell = Window.partitionBy("key")
     tail = F.max(F.col("w_tail").isNotNull()).over(cell)
     b = by_text.withColumn("_tail", tail)
     for x in "wcaz":
         b = b.withColumn(x, F.when(F.col("_tail"), F.col(f"{x}_tail")).otherwise(F.col(f"{x}_all")))
     b = b.withColumn("n_observations", F.sum("n").over(cell)).filter(F.col("w").isNotNull())
-    b = b.withColumn("share", F.col("w") / F.sum("w").over(cell)).withColumn("_texts", F.count("*").over(cell))
-    b = b.withColumn("_heavy", F.row_number().over(cell.orderBy(F.desc("w"), "a"))).withColumn("_late", F.row_number().over(cell.orderBy(F.desc("z"))))
+    heavy = cell.orderBy(F.desc("w"), "a")
+    total = F.sum("w").over(heavy.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    b = b.withColumn("share", F.col("w") / total).withColumn("_texts", F.count("*").over(cell))
+    b = b.withColumn("_heavy", F.row_number().over(heavy)).withColumn("_late", F.row_number().over(cell.orderBy(F.desc("z"))))
     unclear = F.max(F.when(F.col("_heavy") == 1, F.col("share") < least_share)).over(cell) & (F.col("_texts") > 1)
     b = b.withColumn("_unclear", unclear).filter(F.when(F.col("_unclear"), F.col("_late") == 1).otherwise(F.col("_heavy") == 1))
     return b.select("key", "text", F.col("c").alias("confidence"), "share", "n_observations", "first_seen")

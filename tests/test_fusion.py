@@ -46,6 +46,25 @@ def test_vote_tie_goes_to_the_first_text(spark):
     assert fusion.vote(o, fusion.tail_cutoff(o)).first().text == "8"
 
 
+def test_weights_add_up_in_order_of_arrival(spark):
+    """Both texts of a cell weigh the same but for the order in which their readings came; rows lie in any order."""
+    rnd, rows, want = random.Random(7), [], {}
+    for key in range(60):
+        shares = [rnd.randrange(100) / 100 for _ in range(40)]
+        own = [(t, c) for t in "XY" for c in rnd.sample(shares, len(shares))]
+        rnd.shuffle(own)
+        weights, sums = {}, {}
+        for t, c in own:
+            weights[t], sums[t] = weights.get(t, 0.0) + (c + 0.1), sums.get(t, 0.0) + c
+            rows.append((str(key), len(rows), t, c, len(rows)))
+        text = max(weights, key=weights.get)
+        want[str(key)] = (text, sums[text] / len(shares), weights[text] / sum(sorted(weights.values(), reverse=True)))
+    rnd.shuffle(rows)
+    o = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = {r.key: (r.text, r.confidence, r.share) for r in fusion.vote(o, fusion.tail_cutoff(o, len(rows))).collect()}
+    assert got == want
+
+
 def test_empty_votes(spark):
     o = spark.createDataFrame([], SCHEMA)
     assert fusion.tail_cutoff(o).first().cutoff == 0
