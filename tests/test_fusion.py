@@ -46,7 +46,8 @@ def test_vote_tie_goes_to_the_first_text(spark):
     assert fusion.vote(o, fusion.tail_cutoff(o)).first().text == "8"
 
 
-def test_weights_add_up_in_order_of_arrival(spark):
+@pytest.mark.parametrize("tail", [5000, 1])
+def test_weights_add_up_in_order_of_arrival(spark, tail):
     """Both texts of a cell weigh the same but for the order in which their readings came; rows lie in any order."""
     rnd, rows, want = random.Random(7), [], {}
     for key in range(60):
@@ -59,9 +60,11 @@ def test_weights_add_up_in_order_of_arrival(spark):
             rows.append((str(key), len(rows), t, c, len(rows)))
         text = max(weights, key=weights.get)
         want[str(key)] = (text, sums[text] / len(shares), weights[text] / sum(sorted(weights.values(), reverse=True)))
+    rows.append(("last", len(rows), "7", 0.5, len(rows)))  # in a tail of one frame alone: the others vote with all
+    want["last"] = ("7", 0.5, 1.0)
     rnd.shuffle(rows)
     o = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    got = {r.key: (r.text, r.confidence, r.share) for r in fusion.vote(o, fusion.tail_cutoff(o, len(rows))).collect()}
+    got = {r.key: (r.text, r.confidence, r.share) for r in fusion.vote(o, fusion.tail_cutoff(o, tail)).collect()}
     assert got == want
 
 
