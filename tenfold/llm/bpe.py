@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from tenfold.llm import common
-from tenfold.llm.pretokens import IDS, Encoder
+from tenfold.llm.pretokens import IDS, Encoder, packed
 
 #: Text bytes encoded at once.
 AT_ONCE = 2 << 20
@@ -122,7 +122,7 @@ def byte_pairs(path: str) -> BytePairs:
 @functools.lru_cache(2)
 def encoder(path: str, pattern: str) -> Encoder:
     pairs = byte_pairs(path)
-    return Encoder(pattern, lambda tokens: [array("I", pairs.encode(t.encode())).tobytes() for t in tokens])
+    return Encoder(pattern, lambda tokens: packed([array("I", pairs.encode(t.encode())).tobytes() for t in tokens]))
 
 
 def _mapped(path: str, pattern: str, schema: list, of):

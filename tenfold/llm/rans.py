@@ -23,12 +23,16 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tenfold.llm import common
-from tenfold.llm.pretokens import IDS, Encoder, Resolve
+from tenfold.llm.pretokens import IDS, Encoder, Resolve, Rows, offsets
 
 #: Binary digits of the sum of a table's frequencies; ids in a block, its coders, and steps between checkpoints.
 SCALE, BLOCK, LANES, CHECKPOINT = 18, 1 << 15, 256, 64
 #: Blocks that share a table, and bytes of text encoded at once.
-BLOCKS, AT_ONCE = 64, 2 << 20
+BLOCKS, AT_ONCE = 64, 4 << 20
+#: Pieces and pre-tokens whose ids a process remembers.
+PIECES, TOKENS = 800_000, 300_000
+#: Pre-tokens that the library's model gets in a row.
+TOKENIZED = 1 << 13
 LOW = np.uint64(1 << 31)
 END = 2
 
@@ -126,7 +130,7 @@ class _Encoder(Encoder):
     """An encoder that leaves texts with any of the file's added tokens to the library's tokenizer as a whole."""
 
     def __init__(self, pattern: str, resolve: Resolve, library: Tokenizer):
-        super().__init__(pattern, resolve)
+        super().__init__(pattern, resolve, PIECES, TOKENS)
         self.library, self.added = library, [t.content for t in library.get_added_tokens_decoder().values()]
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
@@ -145,12 +149,19 @@ def encoder(path: str, pattern: str) -> Encoder:
     pre-token goes to the library's model, as the library itself does with each.  Texts that hold an
     added token of the file go to the library as they are.
     """
-    library, letters = Tokenizer.from_file(path), _letters()
+    library = Tokenizer.from_file(path)
     model = library.model
-
-    def resolve(tokens: list[str]) -> list[bytes]:
-        plain = [x.replace(" ", letters[32]) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(letters) for x in tokens]
-        return [array("I", [t.id for t in found]).tobytes() for found in map(model.tokenize, plain)]
+    letters = np.array([ord(c) for _, c in sorted(_letters().items())], "<u4")
+    letters[0xFF] = ord("\n")  # no byte of UTF-8, and no letter: it stands between pre-tokens
+
+    def resolve(tokens: Sequence[str]) -> Rows:
+        ids, sizes = array("I"), array("q")
+        for a in range(0, len(tokens), TOKENIZED):
+            raw = np.frombuffer(b"\xff".join(map(str.encode, tokens[a : a + TOKENIZED])), np.uint8)
+            found = list(map(model.tokenize, letters[raw].tobytes().decode("utf-32-le").split("\n")))
+            sizes.extend(map(len, found))
+            ids.extend([t.id for one in found for t in one])
+        return np.array(ids, IDS), offsets(np.array(sizes, np.int64))
 
     return _Encoder(pattern, resolve, library)
 

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tenfold.llm import anchors, bpe, components, exchange, induced, lines, packing, rans, suffixes, toxicity, weighted_minhash, words
+from tenfold.llm import anchors, bpe, components, exchange, induced, lines, packing, pretokens, rans, suffixes, toxicity, weighted_minhash, words
 from tests.llm.fixtures import SCHEMA, clashing, docs, rows
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -437,6 +437,24 @@ def test_memory_changes_nothing():
         assert few.encode([t, "b"])[0].tolist() == ref.encode_ordinary(t)
 
 
+def test_pieces_are_asked_once_and_gathered_in_parts(monkeypatch):
+    encoder, asked = rans.encoder.__wrapped__(JSON, public_tokenizers.PATTERN), []
+    fill, gather, most = encoder.pieces.fill, pretokens._gather, []
+    encoder.pieces.fill = lambda pieces: asked.extend(pieces) or fill(pieces)
+    many = ["x " + " ".join(f"{i:x}" for i in range(a, a + 50_000)) for a in range(0, 500_000, 50_000)]
+    first = [encoder.encode([t])[0].tolist() for t in many]
+    asked.clear()
+    assert encoder.encode(many[:1])[0].tolist() == first[0] and not asked
+    few = [" ".join(f"w{i % 60}" for i in range(a, a + 90)) for a in range(70)]
+    library = Tokenizer.from_file(JSON)
+    odd = ["", " ", "\n", "a\nb\n", "\xff \x00 \x7f", "ÿ\u2028 é", "😀 " * 3, "\x85 end\x1c", "x" * 99, "it's  two "]
+    monkeypatch.setattr(pretokens, "GATHERED", 1000)
+    monkeypatch.setattr(pretokens, "_gather", lambda rows, at: most.append(len(at)) or gather(rows, at))
+    for texts in (few, odd, few + odd):
+        assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(most) <= 1000
+
+
 # ---- long texts
 
 
