@@ -28,11 +28,11 @@ from tenfold.llm.pretokens import IDS, Encoder, Resolve, Rows, offsets
 #: Binary digits of the sum of a table's frequencies; ids in a block, its coders, and steps between checkpoints.
 SCALE, BLOCK, LANES, CHECKPOINT = 18, 1 << 15, 256, 64
 #: Blocks that share a table, and bytes of text encoded at once.
-BLOCKS, AT_ONCE = 64, 4 << 20
+BLOCKS, AT_ONCE = 64, 6 << 20
 #: Pieces and pre-tokens whose ids a process remembers.
-PIECES, TOKENS = 800_000, 300_000
+PIECES, TOKENS = 800_000, 340_000
 #: Pre-tokens that the library's model gets in a row.
-TOKENIZED = 1 << 13
+TOKENIZED = 1 << 7
 LOW = np.uint64(1 << 31)
 END = 2
 
