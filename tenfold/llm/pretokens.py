@@ -155,6 +155,7 @@ class Encoder:
         rest[place[:-1]] = False
         order[place[:-1]], order[rest] = len(coded.dictionary) + np.arange(n), coded.indices.to_numpy()
         del coded, rest
+        pa.default_memory_pool().release_unused()
         out: list[np.ndarray] = []
         for a, b in slices(place, GATHERED):
             ids, off = _gather(rows, order[place[a] : place[b]])
