@@ -230,7 +230,7 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str, end: int = END)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """part, block, doc, null, first, n, at and crc: for each text's share of a block, the number of its ids, its place, and their CRC-32.
+    """part, block, doc, null, first, n, at, crc and base: for each text's share of a block, the number of its ids, its place, their CRC-32, and the ids of all parts before.
 
     A checksum that does not hold fails the read.
     """
@@ -257,7 +257,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     blocks = spark.read.schema(FILE).parquet(folder)
     segment = F.floor(F.col("block") / BLOCKS).alias("segment")
-    return blocks.groupBy("part", segment).applyInArrow(rows, "part long, block long, doc long, null boolean, first boolean, n long, at long, crc long")
+    shares = blocks.groupBy("part", segment).applyInArrow(rows, "part long, block long, doc long, null boolean, first boolean, n long, at long, crc long")
+    # one row a part, so one task can add them up however large the files are; it reads the blocks' sizes alone
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.groupBy("part").agg(F.sum("n").alias("ids")).select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("base"))
+    return shares.join(base, "part")
 
 
 def _times(matrix: list[int], v: int) -> int:
@@ -292,10 +296,6 @@ def joined_crc(first: int, second: int, length: int) -> int:
 
 def documents(shares: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each text in the files."""
-    shares = common.written(shares, "token-shares")
-    # one row a part, so one task can add them up however large the files are
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = shares.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
 
     def rows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found: list[list] = []
@@ -309,7 +309,7 @@ def documents(shares: DataFrame) -> DataFrame:
             total += r["n"]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shares.join(base, "part").groupBy("part").applyInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shares.groupBy("part").applyInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

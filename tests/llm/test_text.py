@@ -1,6 +1,7 @@
 """Toxicity, lines, near duplicates, byte pairs, packing, files of ids, substrings: brute force, round trips, odd rows."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -591,6 +592,17 @@ def test_long_text_over_blocks(spark, tmp_path):
     assert got[1].n_tokens == len(ids) and got[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and got[2].start == 2 + len(ids)
 
 
+def test_files_are_all_that_is_written(spark, tmp_path):
+    """Places come from the blocks' own sizes: no table of shares is written on the way."""
+    d = spark.createDataFrame([(i, "a b c " * i) for i in range(50)], "doc_id long, text string")
+    rans.write(d, JSON, public_tokenizers.PATTERN, f"{tmp_path}/ids")
+    work = pathlib.Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"), "tenfold")
+    before = set(work.glob("*"))
+    found = rans.documents(rans.read(spark, f"{tmp_path}/ids")).orderBy("doc_id").collect()
+    assert set(work.glob("*")) == before
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist() and spark.read.parquet(f"{tmp_path}/ids").select("part").distinct().count() > 1
+
+
 @pytest.mark.parametrize("n,kinds", [(1, 3), (32768, 50257), (70_000, 1), (100_000, 2000)])
 def test_rans_round_trip(n, kinds):
     ids = (np.random.default_rng(n).zipf(1.3, n) % kinds).astype(np.int64)
